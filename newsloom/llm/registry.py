@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import neighbours
+from newsloom.llm import neighbours, spans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to (spark, sf_dir) -> DataFrame."""
-    return {"p6_found": neighbours.p6_found}
+    return {
+        "p6_found": neighbours.p6_found,
+        "p10_found": spans.p10_found,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
