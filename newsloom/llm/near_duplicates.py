@@ -8,8 +8,11 @@ near-duplicates must reach a guaranteed number of matches, and none is lost.
 Count filtering.  With T the matches that a partner of a record of n runs must
 reach, the n - T + MATCHES rarest positional bytes of both records must have at
 least MATCHES in common (pigeonhole under one global order).  Only those are
-indexed, the shared ones are tallied for each pair, pairs below MATCHES are
-dropped and the rest is verified on all runs.
+indexed.  Each posting also has the parities of the record's positional bytes
+in a few machine words: two records differ in at least as many bytes as these
+words differ in bits, which bounds their matches where they meet, before
+anything moves.  The matches of the pairs that are left are tallied, pairs
+below MATCHES are dropped and the rest is verified on all runs.
 
 Scale.  The global order comes from counts over all records in a table of fixed
 size; how well it separates rare from frequent only changes how many pairs are
@@ -34,7 +37,9 @@ from newsloom.plans.runtime import park, table
 #: Neighbouring words in a run.
 RUN = 3
 #: Shared positional bytes that a pair must reach among its rarest ones.
-MATCHES = 3
+MATCHES = 2
+#: Machine words of parities that go with each posting.
+PARITY_WORDS = 3
 #: Cells of the count table: 4 bytes each, broadcast.
 CELLS = 1 << 20
 _CHUNK = 1 << 12
@@ -100,6 +105,13 @@ def _cell(marks: np.ndarray) -> np.ndarray:
     return (marks * np.uint32(2654435761)) >> np.uint32(32 - CELLS.bit_length() + 1)
 
 
+def parities(row: np.ndarray, marks: np.ndarray, rows: int) -> np.ndarray:
+    """PARITY_WORDS int64 words for each row: how often, modulo two, its positional bytes fall into each bit."""
+    bits = 64 * PARITY_WORDS
+    odd = np.bincount(row * bits + (marks % np.uint32(bits)).astype(np.int64), minlength=rows * bits).reshape(rows, bits) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(CELLS, np.int64)
     for batch in batches:
@@ -149,21 +161,27 @@ def near_duplicate_classes(records: DataFrame, similarity: float = 0.7, *, id_co
             kinds, n = kinds[first], batch.column("n").to_numpy().astype(np.int64)
             marks, sizes = _marks(batch)
             row = np.repeat(np.arange(len(first)), sizes)
+            words_of = parities(row, marks, len(first))
             order = np.lexsort((marks, counts.value[_cell(marks)], row))
             marks, row = marks[order], row[order]
             rank = np.arange(len(marks)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             need = np.ceil(similarity * n - 1e-9).astype(np.int64)
             # a position short of the sequence's length would hide matches, so distinct bytes that coincide widen the prefix
             keep = rank < (sizes - need + MATCHES + (n - sizes))[row]
-            yield pa.RecordBatch.from_arrays([pa.array(marks[keep].view(np.int32)), pa.array(kinds[row[keep]]), pa.array(n[row[keep]].astype(np.int32))], names=["mark", "kind", "n"])
-
-    postings = described.select("kind", "n", "marks").mapInArrow(index, "mark int, kind long, n int")
-    one = postings.select("mark", F.col("kind").alias("a"), F.col("n").alias("na"))
-    two = postings.select("mark", F.col("kind").alias("b"), F.col("n").alias("nb"))
-    close = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - F.lit(1e-6)) & (F.col("a") < F.col("b"))
-    # a class may come once for each batch that holds a copy: equal postings must not be tallied twice
+            columns = [marks[keep].view(np.int32), kinds[row[keep]], n[row[keep]].astype(np.int32), *words_of[row[keep]].T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=names_of)
+
+    parity = [f"p{i}" for i in range(PARITY_WORDS)]
+    names_of = ["mark", "kind", "n", *parity]
+    postings = described.select("kind", "n", "marks").mapInArrow(index, "mark int, kind long, n int, " + ", ".join(f"{c} long" for c in parity))
+    one = postings.select("mark", F.col("kind").alias("a"), F.col("n").alias("na"), *(F.col(c).alias(f"a{c}") for c in parity))
+    two = postings.select("mark", F.col("kind").alias("b"), F.col("n").alias("nb"), *(F.col(c).alias(f"b{c}") for c in parity))
+    need = F.ceil(F.lit(similarity) * F.greatest("na", "nb") - F.lit(1e-9))
+    apart = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in parity), F.lit(0))
+    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= need) & (F.col("na") + F.col("nb") - apart >= 2 * need)
+    # a class may come once for each batch that holds a copy, so a tally may be too high, never too low
     tallied = one.join(two, "mark").filter(close).groupBy("a", "b").agg(F.count(F.lit(1)).alias("tally"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    least = F.least(F.lit(MATCHES), F.ceil(F.lit(similarity) * F.greatest("na", "nb") - F.lit(1e-9)))
+    least = F.least(F.lit(MATCHES), need)
     candidates = park(tallied.filter(F.col("tally") >= least).select("a", "b"), "near-duplicate-candidates")
 
     names = candidates.select(F.explode(F.array("a", "b")).alias("kind")).distinct()
