@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import near_duplicates, neighbours, spans
+from newsloom.llm import history, near_duplicates, neighbours, spans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to (spark, sf_dir) -> DataFrame."""
     return {
+        "p1_found": history.p1_found,
         "p4_found": near_duplicates.p4_found,
         "p6_found": neighbours.p6_found,
         "p10_found": spans.p10_found,
