@@ -6,8 +6,8 @@ key of an indexed place is a run of whole blocks as long as any span of
 index.  A window is represented by its least rolling ``GRAM``-character hash,
 which equal windows share and neighbouring windows mostly share too, so a text
 sends about one probe for forty characters and still no window is left out.
-Texts that meet are compared, each hit being extended to the maximal exact
-repeat.
+Texts that meet, and agree for fifty characters more on one side, are compared,
+each hit being extended to the maximal exact repeat.
 
 Scale.  A text stands for all its copies from the start (its 64-bit hash is its
 name), so a group of copies costs one text.  Probes are three numbers; texts
@@ -65,24 +65,34 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _prefix_sums(points: np.ndarray) -> np.ndarray:
+    up, _ = _Powers.of(len(points) + 1)
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(_mix(points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=sums[1:])
+    return sums
+
+
+def _hash_at(sums: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the windows of ``n`` code points that start at ``starts``."""
+    return _mix((sums[starts + n] - sums[starts]) * _Powers.of(len(sums))[1][starts])
+
+
 def rolling(points: np.ndarray, n: int) -> np.ndarray:
     """Hash of every window of ``n`` code points."""
     if len(points) < n:
         return np.empty(0, np.uint64)
-    up, down = _Powers.of(len(points) + 1)
-    sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(_mix(points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=sums[1:])
-    return _mix((sums[n:] - sums[:-n]) * down[: len(points) - n + 1])
+    sums = _prefix_sums(points)
+    return _mix((sums[n:] - sums[:-n]) * _Powers.of(len(sums))[1][: len(points) - n + 1])
 
 
-def _sliding_least(h: np.ndarray, width: int) -> np.ndarray:
-    """Least value of every ``width`` neighbours."""
+def _sliding(h: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """Least or greatest value of every ``width`` neighbours."""
     have = 1
     while have * 2 <= width:
-        h = np.minimum(h[:-have], h[have:])
+        h = pick(h[:-have], h[have:])
         have *= 2
     rest = width - have
-    return np.minimum(h[:-rest], h[rest:]) if rest else h
+    return pick(h[:-rest], h[rest:]) if rest else h
 
 
 def _pieces(names: list[int], texts: list[str], run: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -103,21 +113,39 @@ def _pieces(names: list[int], texts: list[str], run: int) -> Iterator[tuple[np.n
         yield np.concatenate(points), np.array(spans, np.int64).reshape(-1, 3)
 
 
-def _anchors(names: list[int], texts: list[str], run: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor, name, is a reference place) of every window's representative, repeats of neighbours left out."""
+def _anchors(names: list[int], texts: list[str], run: int, reach: int) -> Iterator[list[np.ndarray]]:
+    """[anchor, name, before, after, is of a reference place] for every place that represents a window.
+
+    ``before`` and ``after`` are hashes of the anchor with ``reach`` characters
+    more on that side, or chance where the text ends before.
+    """
+    width = run - GRAM + 1
     for points, spans in _pieces(names, texts, run):
-        least = _sliding_least(rolling(points, GRAM), run - GRAM + 1)
-        at = np.arange(len(least))
-        owner = np.searchsorted(spans[:, 1], at, side="right") - 1
-        inside = at + run <= spans[owner, 2]
-        least, owner, at = least[inside], owner[inside], at[inside]
-        if not len(least):
+        if len(points) < run:
             continue
-        block = (at - spans[owner, 1]) % BLOCK == 0
-        new = np.ones(len(least), bool)
-        new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
-        first = np.flatnonzero(new)
-        yield least[first].view(np.int64), spans[owner[first], 0], np.logical_or.reduceat(block, first)
+        sums = _prefix_sums(points)
+        h = _mix((sums[GRAM:] - sums[:-GRAM]) * _Powers.of(len(sums))[1][: len(points) - GRAM + 1])
+        least = _sliding(h, width, np.minimum)
+        at = np.arange(len(least))
+        starts, ends = spans[:, 1], spans[:, 2]
+        owner = np.searchsorted(starts, at, side="right") - 1
+        inside = at + run <= ends[owner]
+        # a place represents a window if it is least in one of the windows over it
+        most = _sliding(np.pad(np.where(inside, least, np.uint64(0)), width - 1), width, np.maximum)
+        chosen = np.flatnonzero(most == h)
+        block = np.zeros(len(h), bool)
+        places = np.flatnonzero(inside & ((at - starts[owner]) % BLOCK == 0))
+        left, values = places, least[places]
+        for offset in range(width):
+            hit = h[left + offset] == values
+            block[left[hit] + offset] = True
+            left, values = left[~hit], values[~hit]
+        owner = np.searchsorted(starts, chosen, side="right") - 1
+        sides = []
+        for first, fits in ((chosen - reach, chosen - reach >= starts[owner]), (chosen, chosen + GRAM + reach <= ends[owner])):
+            chance = _mix(_mix(spans[owner, 0].view(np.uint64)) + chosen.astype(np.uint64) + np.uint64(len(sides)))
+            sides.append(np.where(fits, _hash_at(sums, np.where(fits, first, 0), min(GRAM + reach, len(points))), chance))
+        yield [h[chosen].view(np.int64), spans[owner, 0], sides[0].view(np.int64), sides[1].view(np.int64), block[chosen]]
 
 
 def _run_length(min_chars: int) -> int:
@@ -184,19 +212,21 @@ def _named(documents: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 def candidate_pairs(texts: DataFrame, min_chars: int) -> DataFrame:
     """``a`` < ``b``: names of texts of which a window of one meets a reference place of the other."""
     run = _run_length(min_chars)
+    # beside its anchor, a span has this many characters more on one side at least
+    reach = -(-(min_chars - GRAM) // 2)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, name, block in _anchors(batch.column("name").to_pylist(), batch.column("text").to_pylist(), run):
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(name), pa.array(block)], names=["anchor", "name", "block"])
+            for columns in _anchors(batch.column("name").to_pylist(), batch.column("text").to_pylist(), run, reach):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "name", "before", "after", "block"])
 
-    probes = texts.select("name", "text").mapInArrow(probe, "anchor long, name long, block boolean")
+    probes = texts.select("name", "text").mapInArrow(probe, "anchor long, name long, before long, after long, block boolean")
     same = Window.partitionBy("anchor")
     met = probes.withColumn("lo", F.min("name").over(same)).withColumn("hi", F.max("name").over(same)).filter("lo < hi")
-    met = park(met.groupBy("anchor", "name").agg(F.max("block").alias("block")), "span-anchors")
-    index = met.filter("block").select("anchor", F.col("name").alias("n1"))
-    hits = index.join(met.select("anchor", F.col("name").alias("n2")), "anchor").filter("n1 <> n2")
-    return park(hits.select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).distinct(), "span-candidates")
+    met = park(met.groupBy("anchor", "name", "before", "after").agg(F.max("block").alias("block")), "span-anchors")
+    index = met.filter("block").select("anchor", F.col("name").alias("n1"), F.col("before").alias("b1"), F.col("after").alias("a1"))
+    hits = index.join(met, "anchor").filter("n1 <> name and (b1 = before or a1 = after)")
+    return park(hits.select(F.least("n1", "name").alias("a"), F.greatest("n1", "name").alias("b")).distinct(), "span-candidates")
 
 
 def shared_spans(documents: DataFrame, min_chars: int = 200, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
