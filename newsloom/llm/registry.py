@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import history, near_duplicates, neighbours, spans
+from newsloom.llm import boilerplate, history, near_duplicates, neighbours, spans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": near_duplicates.p4_found,
         "p6_found": neighbours.p6_found,
         "p10_found": spans.p10_found,
+        "p7_found": boilerplate.p7_found,
     }
 
 
