@@ -173,10 +173,22 @@ def body_lines(title: str | None, content: str, furniture: set[int], common: set
     def out(x: _Line) -> bool:
         return x.empty or x.furniture or x.link or x.cue or x.meta or x.items
 
-    kept: list[int] = []
+    # a headline of another report also takes the sentences that name its own rare words
+    promoted: set[int] = set()
+    other: set[str] = set()
+    for i, x in enumerate(lines):
+        if x.empty or i == headline:
+            continue
+        if x.named:
+            other = set()
+        elif not x.furniture and (x.link or x.shape):
+            other = {w for w in title_words(x.text) if w not in common}
+        elif other and any(w in x.text.lower() for w in other):
+            promoted.add(i)
+    passages: list[list[int]] = []
     for start, end in blocks:
         # lines of furniture part a block into passages
-        passages, passage = [], []
+        passage: list[int] = []
         for i in range(start, end):
             x = lines[i]
             if i == headline or out(x):
@@ -187,23 +199,30 @@ def body_lines(title: str | None, content: str, furniture: set[int], common: set
             before = next((lines[j] for j in range(i - 1, -1, -1) if not lines[j].empty), None)
             if before is not None and before.furniture and before.colon and not x.ended and x.size < 200 and not x.named:
                 continue
-            if x.numbered and not x.named and not x.ended:
+            if i in promoted or x.numbered and not x.named and not x.ended:
                 continue
             passage.append(i)
         if passage:
             passages.append(passage)
-        for passage in passages:
-            named = [i for i in passage if lines[i].named]
-            dense = [i for i in passage if lines[i].size >= DENSE and lines[i].ended]
-            if not named and not dense:
-                continue
-            sure = set(named) | set(dense)
-            last = max(sure)
-            for i in passage:
-                x = lines[i]
-                if i in sure or not (x.shape or x.heading):
-                    if i < last or i in sure or not x.shape:
-                        kept.append(i)
+
+    named_at = [i for p in passages for i in p if lines[i].named]
+    last_named = named_at[-1] if named_at else -1
+    after_headline = None
+    if headline is not None:
+        after_headline = next((i for i in range(headline + 1, len(lines)) if not (lines[i].empty or lines[i].meta)), None)
+    kept: list[int] = []
+    for passage in passages:
+        sure = {i for i in passage if lines[i].named or lines[i].size >= DENSE and lines[i].ended}
+        # what stands between the headline and the last line about it is the report too, and so is what follows the headline at once
+        inner = passage[0] < last_named and (headline is None or passage[0] > headline)
+        opening = passage[0] == after_headline and not lines[passage[0]].shape
+        if not sure and not inner and not opening:
+            continue
+        last = max(sure) if sure else -1
+        for i in passage:
+            x = lines[i]
+            if i in sure or i < last_named and i > (headline if headline is not None else -1) and not x.shape or i < last and not (x.shape or x.heading) or (opening or sure) and not x.shape and not x.heading:
+                kept.append(i)
     return sorted(kept)
 
 
