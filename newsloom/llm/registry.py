@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import boilerplate, history, near_duplicates, neighbours, spans
+from newsloom.llm import boilerplate, history, lookalikes, near_duplicates, neighbours, spans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to (spark, sf_dir) -> DataFrame."""
     return {
         "p1_found": history.p1_found,
+        "p2_found": lookalikes.p2_found,
         "p4_found": near_duplicates.p4_found,
         "p6_found": neighbours.p6_found,
         "p10_found": spans.p10_found,
