@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import boilerplate, history, lookalikes, near_duplicates, neighbours, spans
+from newsloom.llm import boilerplate, history, languages, lookalikes, near_duplicates, neighbours, spans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": history.p1_found,
         "p2_found": lookalikes.p2_found,
+        "p3_found": languages.p3_found,
         "p4_found": near_duplicates.p4_found,
         "p6_found": neighbours.p6_found,
         "p10_found": spans.p10_found,
