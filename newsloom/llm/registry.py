@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import boilerplate, history, languages, lookalikes, near_duplicates, neighbours, spans
+from newsloom.llm import boilerplate, history, languages, lookalikes, mixing, near_duplicates, neighbours, packing, spans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": languages.p3_found,
         "p4_found": near_duplicates.p4_found,
         "p6_found": neighbours.p6_found,
+        "p8_containers": packing.p8_containers,
+        "p9_mixture": mixing.p9_mixture,
+        "p9_shares": mixing.p9_shares,
         "p10_found": spans.p10_found,
         "p7_found": boilerplate.p7_found,
     }
