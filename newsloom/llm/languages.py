@@ -58,7 +58,8 @@ _BY_NAME = {unicodedata.normalize("NFC", n): code for code, names in LANGUAGE_NA
 
 _HIDDEN = re.compile("[­͏؜ᅟᅠ᠎​‎‏‪-‮⁠-⁤⁦-⁩﻿︀-️]")
 _STRANGE = re.compile("[^\x00-\x7f]")
-_TWO_SCRIPTS = re.compile("(?=.*[A-Za-z])(?=.*[Ͱ-ӿ])", re.S)
+_LATIN = re.compile("[A-Za-z]")
+_GREEK_CYRILLIC = re.compile("[Ͱ-ӿ]")
 _TAIL = re.compile(r"\s*(?:\([^()]{1,40}\)|\[[^\[\]]{0,40}\]|[–—|/]\s*[^–—|/.!?。]{1,40}|\+{2,})\s*$")
 _HEAD = re.compile(r"^\s*(?:\([^()]{1,40}\)|\[[^\[\]]{1,40}\]|\+{2,})\s*")
 _SENTENCE = re.compile(r"[^.!?。！？؟]*(?:[.!?。！？؟]+[\"'”’»)\]]*|$)")
@@ -85,7 +86,7 @@ def plain(text: str) -> str:
     if not _STRANGE.search(text):
         return text
     text = unicodedata.normalize("NFKC", _HIDDEN.sub("", text))
-    if _TWO_SCRIPTS.search(text):
+    if _GREEK_CYRILLIC.search(text) and _LATIN.search(text):
         done = len(text) + 1
         for start, end, fixed in reversed(repairs(text)):
             if end <= done:
@@ -104,16 +105,16 @@ def words(text: str) -> list[str]:
     return found
 
 
-def segments(title: str | None, summary: str | None) -> list[tuple[str, str, bool]]:
-    """(field, text, is whole) of the title and of each sentence of the summary that is text in some language.
+def segments(title: str | None, summary: str | None) -> list[tuple[str, str, bool, list[str]]]:
+    """(field, text, is whole, words) of the title and of each sentence of the summary that is text in some language.
 
     Tags at the ends, placeholders and single words are no text; a sentence
     that was cut off is not whole.
     """
     found = []
     head = plain(title or "").strip()
-    if head and not _PLACEHOLDER.match(head) and len(words(head)) >= LEAST_WORDS:
-        found.append(("title", head, True))
+    if head and not _PLACEHOLDER.match(head) and len(of := words(head)) >= LEAST_WORDS:
+        found.append(("title", head, True, of))
     body = (summary or "").strip()
     cut = body.endswith("…")
     body = _HEAD.sub("", plain(body[:-1] if cut else body))
@@ -121,8 +122,8 @@ def segments(title: str | None, summary: str | None) -> list[tuple[str, str, boo
         body = short
     sentences = [s.strip() for s in _SENTENCE.findall(body) if s.strip()]
     for i, s in enumerate(sentences):
-        if len(words(s)) >= LEAST_WORDS:
-            found.append(("summary", s, not (cut and i == len(sentences) - 1)))
+        if len(of := words(s)) >= LEAST_WORDS:
+            found.append(("summary", s, not (cut and i == len(sentences) - 1), of))
     return found
 
 
@@ -139,13 +140,17 @@ class NgramModel:
 
     def __init__(self, languages: list[str], index: dict[str, int], table_: np.ndarray, unseen: np.ndarray):
         self.languages, self.index, self.table, self.unseen = languages, index, table_, unseen
-        self._known: dict[str, np.ndarray] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self._row: dict[str, int] = {}
+        self._scores = np.zeros((1024, len(self.languages)), np.float32)
 
     @classmethod
-    def train(cls, texts: dict[str, list[str]]) -> NgramModel:
-        """From texts by language."""
+    def train(cls, texts: dict[str, list[list[str]]]) -> NgramModel:
+        """From texts, given as words, by language."""
         languages = sorted(texts)
-        counts = [Counter(g for t in texts[code] for w in words(t) for g in grams(w)) for code in languages]
+        counts = [Counter(g for t in texts[code] for w in t for g in grams(w)) for code in languages]
         index = {g: i for i, g in enumerate(sorted(set().union(*counts)))} if counts else {}
         table_ = np.full((len(index), len(languages)), 0.2)
         for j, c in enumerate(counts):
@@ -154,24 +159,31 @@ class NgramModel:
         totals = np.array([sum(c.values()) for c in counts]) + 0.2 * max(1, len(index))
         return cls(languages, index, np.log(table_ / totals).astype(np.float32), np.log(0.2 / totals).astype(np.float32))
 
-    def word(self, word: str) -> np.ndarray:
-        """Log-likelihood of a word under each language, over the mean number of grams that start at a character."""
-        found = self._known.get(word)
-        if found is None:
-            if len(self._known) > 200_000:
-                self._known.clear()
-            rows = [self.index.get(g, -1) for g in grams(word)]
-            seen = [r for r in rows if r >= 0]
-            found = (self.table[seen].sum(0) if seen else 0) + (len(rows) - len(seen)) * self.unseen
-            found = self._known[word] = found / (GRAM - 1)
-        return found
-
-    def score(self, text: str) -> np.ndarray:
-        """Log-likelihood of a text under each language."""
-        return np.sum([self.word(w) for w in words(text)], axis=0) if words(text) else np.zeros(len(self.languages))
+    def _word_row(self, word: str) -> int:
+        """Row of a word's log-likelihoods by language, over the mean number of grams that start at a character."""
+        row = self._row.get(word)
+        if row is None:
+            row = self._row[word] = len(self._row)
+            if row == len(self._scores):
+                self._scores = np.vstack([self._scores, np.zeros_like(self._scores)])
+            known = [self.index.get(g, -1) for g in grams(word)]
+            seen = [r for r in known if r >= 0]
+            self._scores[row] = ((self.table[seen].sum(0) if seen else 0) + (len(known) - len(seen)) * self.unseen) / (GRAM - 1)
+        return row
+
+    def score(self, texts: list[list[str]]) -> np.ndarray:
+        """Log-likelihoods of texts, given as words (none empty), by language."""
+        if len(self._row) > 200_000:
+            self._clear()
+        rows = [self._word_row(w) for t in texts for w in t]
+        starts = np.cumsum([0] + [len(t) for t in texts[:-1]])
+        return np.add.reduceat(self._scores[rows].astype(np.float64), starts, axis=0) if texts else np.zeros((0, len(self.languages)))
 
     def __getstate__(self):
-        return {**self.__dict__, "_known": {}}
+        return {"languages": self.languages, "index": self.index, "table": self.table, "unseen": self.unseen}
+
+    def __setstate__(self, state):
+        self.__init__(state["languages"], state["index"], state["table"], state["unseen"])
 
 
 def em_proportions(scores: np.ndarray, weights: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, float]:
@@ -217,14 +229,15 @@ def _sample(rows: DataFrame) -> NgramModel:
     counts = {r[0]: r[1] for r in coded.groupBy("code").count().collect()}  # one row a language
     share = F.create_map(*(F.lit(x) for c, n in counts.items() for x in (c, min(1.0, SAMPLE_ROWS / n)))) if counts else F.create_map(F.lit(""), F.lit(0.0))
     picked = coded.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / F.lit(1_000_003.0) < share[F.col("code")])
-    texts: dict[str, list[list[str]]] = {}
+    texts: dict[str, list[list[list[str]]]] = {}
     for r in picked.select("code", "title", "body").orderBy("id").collect():  # about SAMPLE_ROWS rows a language
-        texts.setdefault(r["code"], []).append([t for _, t, _ in segments(r["title"], r["body"])])
+        texts.setdefault(r["code"], []).append([w for _, _, _, w in segments(r["title"], r["body"])])
     first = NgramModel.train({c: [s for d in ds for s in d] for c, ds in texts.items()})
     kept = {}
     for j, code in enumerate(first.languages):
-        own = [s for d in texts[code] for s in d if int(first.score(s).argmax()) == j]
-        kept[code] = own or [s for d in texts[code] for s in d]
+        every = [s for d in texts[code] for s in d]
+        own = [s for s, best in zip(every, first.score(every).argmax(1)) if best == j]
+        kept[code] = own or every
     return NgramModel.train(kept)
 
 
@@ -245,45 +258,73 @@ def segment_languages(records: DataFrame, *, id_col: str = "id", title_col: str
     rows = _rows(records, id_col, title_col, summary_col, label_col)
     model = records.sparkSession.sparkContext.broadcast(_sample(rows))
     names = ["id", "label", "seg_no", "field", "text", "whole", "lang", "confidence", "share"]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.float64(), pa.float64()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.float64(), pa.float64()]
         for batch in batches:
-            out = []
-            for key, title, body, label in zip(*(batch.column(c).to_pylist() for c in ("id", "title", "body", "label"))):
-                parts = segments(title, body)
-                if not parts or not m.languages:
-                    continue
-                scores = np.stack([m.score(t) for _, t, _ in parts])
-                weights = np.array([len(t) for _, t, _ in parts], float)
-                chosen, pi, post = infer(scores, weights)
-                for i, (field, text, whole) in enumerate(parts):
-                    j = int(post[i].argmax())
-                    out.append((key, label, i, field, text, whole, m.languages[chosen[j]], round(float(post[i, j]), 6), round(float(pi[j]), 6)))
+            out = [
+                (key, label, i, field, text, whole, lang, round(sure, 6), round(share, 6))
+                for key, label, parts, found in _analysed(batch, model.value)
+                for i, ((field, text, whole, _), (lang, sure, share)) in enumerate(zip(parts, found))
+            ]
             columns = list(zip(*out)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     return rows.mapInArrow(read, "id string, label string, seg_no int, field string, text string, whole boolean, lang string, confidence double, share double")
 
 
+def _analysed(batch: pa.RecordBatch, model: NgramModel) -> Iterator[tuple[str, str | None, list, list[tuple[str, float, float]]]]:
+    """(id, label, segments, (language, confidence, share) of each) of the records of a batch that have text."""
+    if not model.languages:
+        return
+    records = []
+    for key, title, body, label in zip(*(batch.column(c).to_pylist() for c in ("id", "title", "body", "label"))):
+        parts = segments(title, body)
+        if parts:
+            records.append((key, label, parts))
+    scores = model.score([p[3] for _, _, parts in records for p in parts])
+    best = scores.argmax(1)
+    spread = np.exp(scores - scores.max(1, keepdims=True))
+    sure = 1 / spread.sum(1)
+    at = 0
+    for key, label, parts in records:
+        rows = slice(at, at + len(parts))
+        at += len(parts)
+        if (best[rows] == best[rows][0]).all():  # one language is the best for all: no mixture can do better
+            lang = model.languages[best[rows][0]]
+            yield key, label, parts, [(lang, float(c), 1.0) for c in sure[rows]]
+            continue
+        chosen, pi, post = infer(scores[rows], np.array([len(p[1]) for p in parts], float))
+        most = post.argmax(1)
+        yield key, label, parts, [(model.languages[chosen[j]], float(post[i, j]), float(pi[j])) for i, j in enumerate(most)]
+
+
 def document_languages(records: DataFrame, *, id_col: str = "id", title_col: str = "title", summary_col: str = "summary", label_col: str = "source_lang") -> DataFrame:
     """``id``, ``lang``, ``share``, ``confidence``, ``label``, ``label_is_right``: one row for each language of each record.
 
     A language counts if the title or a whole sentence is written in it.  The
-    label is right if it names exactly the one language of the record.
+    label is right if it names exactly the one language of the record.  Other
+    cases as in ``segment_languages``, but that repeated rows count once.
     """
-    read = segment_languages(records, id_col=id_col, title_col=title_col, summary_col=summary_col, label_col=label_col).filter("whole").distinct()
-    by_lang = read.groupBy("id", "label", "lang").agg(F.max("share").alias("share"), F.max("confidence").alias("confidence"))
-    grouped = by_lang.groupBy("id", "label").agg(F.collect_list(F.struct("lang", "share", "confidence")).alias("langs"))
+    rows = _rows(records, id_col, title_col, summary_col, label_col)
+    model = records.sparkSession.sparkContext.broadcast(_sample(rows))
+    names = ["id", "lang", "share", "confidence", "label", "label_is_right"]
+    kinds = [pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            right = [read_label(label) == {x["lang"] for x in langs} for label, langs in zip(batch.column("label").to_pylist(), batch.column("langs").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), batch.column("langs"), pa.array(right, pa.bool_())], names=["id", "label", "langs", "right"])
+            out = []
+            for key, label, parts, found in _analysed(batch, model.value):
+                langs: dict[str, tuple[float, float]] = {}
+                for part, (lang, sure, share) in zip(parts, found):
+                    if part[2]:
+                        langs[lang] = (share, max(sure, langs.get(lang, (0, 0))[1]))
+                right = read_label(label) == set(langs)
+                out += [(key, lang, round(share, 6), round(sure, 6), label, right) for lang, (share, sure) in langs.items()]
+            columns = list(zip(*out)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    judged = grouped.mapInArrow(judge, "id string, label string, langs array<struct<lang string, share double, confidence double>>, right boolean")
-    return judged.select("id", F.explode("langs").alias("l"), "label", "right").select("id", "l.lang", "l.share", "l.confidence", "label", F.col("right").alias("label_is_right"))
+    return rows.mapInArrow(read, "id string, lang string, share double, confidence double, label string, label_is_right boolean").distinct()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
