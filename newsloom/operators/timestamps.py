@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from newsloom.functions.instants import read_instant
+from newsloom.plans.catalog import query
 from newsloom.plans.runtime import fresh_path, path_exists, table
 
 #: A text is hot from one row in so many; so there are at most as many hot texts.
@@ -113,6 +114,7 @@ def normalise_instants(items: DataFrame, locale: DataFrame, dictionary: InstantD
     return cold.unionByName(rows.filter(is_hot).join(few, same, "left")).drop("_raw", "_tz", "_df")
 
 
+@query("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id``, ``published_ms`` of each feed item whose text denotes exactly one instant."""
     items = table(spark, sf_dir, "feed_items").select("id", "published_at", "feed_url", "source_id")
