@@ -155,22 +155,25 @@ def sized_pieces(documents: DataFrame, capacities: list[tuple[int, int]], *, id_
     """``capacity_id``, ``capacity``, ``key``, ``piece``, ``start``, ``end``, ``tokens``: what has to be packed for each capacity."""
     names = ["capacity_id", "capacity", "key", "piece", "start", "end", "tokens"]
     key_type = documents.schema[id_col].dataType.simpleString()
+    least = min(c for _, c in capacities)
 
     def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = tokenizer(tokenizer_path)
         for batch in batches:
             out: dict[str, list] = {n: [] for n in names}
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                n = reader.count(text)
+                units = None
+                if reader.additive and len(text) > 4 * least:  # it will be cut, so its parts are needed anyway
+                    units = reader.units(text, least)
+                n = int(units[1].sum()) if units is not None else reader.count(text)
                 if n == 0:
                     continue
-                units = None
                 for number, capacity in capacities:
                     if n <= capacity:
                         parts = [(0, len(text), n)]
                     else:
-                        units = units or reader.units(text, min(c for _, c in capacities))
-                        parts = reader.pieces(units, capacity)
+                        units = reader.units(text, least) if units is None else units
+                        parts = reader.pieces(text, units, capacity)
                     for k, (start, end, tokens) in enumerate(parts):
                         for name, v in zip(names, (number, capacity, key, k, start, end, tokens)):
                             out[name].append(v)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 
+import numpy as np
 import regex
 
 #: Vocabulary file; rank files (.tiktoken), tokenizer files (.json) and sentencepiece models (.model) are read.
@@ -21,6 +22,8 @@ class Tokenizer:
     def __init__(self, path: str = TOKENIZER):
         self.path = path
         self._units: dict[str, int] = {}
+        #: Whether the parts that ``units`` gives are tokenized independently of each other.
+        self.additive = path.endswith(".tiktoken")
         if path.endswith(".tiktoken"):
             import tiktoken
 
@@ -48,34 +51,40 @@ class Tokenizer:
             n = self._units[unit] = self.count(unit)
         return n
 
-    def units(self, text: str, most: int) -> list[tuple[str, int]]:
-        """(part, tokens) that add up to the text, none of more than ``most`` tokens unless it is one character."""
-        found: list[tuple[str, int]] = []
-        todo = _UNITS.findall(text)[::-1]
-        while todo:
-            unit = todo.pop()
-            n = self._unit(unit)
-            if n <= most or len(unit) == 1:
-                found.append((unit, n))
-            else:
-                todo += [unit[len(unit) // 2 :], unit[: len(unit) // 2]]
-        return found
-
-    def pieces(self, units: list[tuple[str, int]], capacity: int) -> list[tuple[int, int, int]]:
+    def units(self, text: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(characters, tokens) of parts that add up to the text, none of more than ``most`` tokens unless it is one character."""
+        parts = _UNITS.findall(text)
+        known = self._units.get
+        sizes = [known(u) for u in parts]
+        if None in sizes or max(sizes, default=0) > most:
+            done: list[tuple[int, int]] = []
+            todo = parts[::-1]
+            while todo:
+                unit = todo.pop()
+                n = self._unit(unit)
+                if n <= most or len(unit) == 1:
+                    done.append((len(unit), n))
+                else:
+                    todo += [unit[len(unit) // 2 :], unit[: len(unit) // 2]]
+            return np.array([x for x, _ in done], np.int64), np.array([n for _, n in done], np.int64)
+        return np.array([len(u) for u in parts], np.int64), np.array(sizes, np.int64)
+
+    def pieces(self, text: str, units: tuple[np.ndarray, np.ndarray], capacity: int) -> list[tuple[int, int, int]]:
         """(start, end, tokens) of consecutive pieces of at most ``capacity`` tokens; characters count."""
-        found, i, start = [], 0, 0
-        while i < len(units):
-            j, total = i, 0
-            while j < len(units) and (total + units[j][1] <= capacity or j == i):
-                total += units[j][1]
-                j += 1
-            n = self.count("".join(u for u, _ in units[i:j]))
-            while n > capacity and j > i + 1:
-                j -= 1
-                n = self.count("".join(u for u, _ in units[i:j]))
-            end = start + sum(len(u) for u, _ in units[i:j])
+        ends, sums = np.cumsum(units[0]), np.cumsum(units[1])
+        found, i, start, before = [], 0, 0, 0
+        while i < len(sums):
+            j = max(i + 1, int(np.searchsorted(sums, before + capacity, side="right")))
+            end, n = int(ends[j - 1]), int(sums[j - 1]) - before
+            # blanks at a piece's end may join up, and other tokenizers look across parts
+            if not self.additive or text[end - 1].isspace():
+                n = self.count(text[start:end])
+                while n > capacity and j > i + 1:
+                    j -= 1
+                    end = int(ends[j - 1])
+                    n = self.count(text[start:end])
             found.append((start, end, n))
-            i, start = j, end
+            i, start, before = j, end, int(sums[j - 1])
         return found
 
 
