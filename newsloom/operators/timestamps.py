@@ -77,15 +77,15 @@ def with_locale(items: DataFrame, locale: DataFrame) -> DataFrame:
     optimizer's own broadcast limit, no hint is given.  A row without a known
     feed gets nulls and keeps only texts that state their own zone.
     """
-    by_url = locale.groupBy(F.col("feed_url").alias("_u")).agg(F.min("tz_name").alias("_tz_u"), F.min("day_first").alias("_df_u"))
-    by_id = locale.groupBy(F.col("source_id").alias("_i")).agg(F.min("tz_name").alias("_tz_i"), F.min("day_first").alias("_df_i"))
+    by_url = locale.groupBy(F.col("feed_url").alias("__feed_url")).agg(F.min("tz_name").alias("__tz_url"), F.min("day_first").alias("__day_url"))
+    by_id = locale.groupBy(F.col("source_id").alias("__source_id")).agg(F.min("tz_name").alias("__tz_id"), F.min("day_first").alias("__day_id"))
     return (
         items.drop("tz_name", "day_first")
-        .join(by_url, F.col("feed_url") == F.col("_u"), "left")
-        .join(by_id, F.col("source_id") == F.col("_i"), "left")
-        .withColumn("tz_name", F.coalesce("_tz_u", "_tz_i"))
-        .withColumn("day_first", F.coalesce("_df_u", "_df_i"))
-        .drop("_u", "_i", "_tz_u", "_df_u", "_tz_i", "_df_i")
+        .join(by_url, F.col("feed_url") == F.col("__feed_url"), "left")
+        .join(by_id, F.col("source_id") == F.col("__source_id"), "left")
+        .withColumn("tz_name", F.coalesce("__tz_url", "__tz_id"))
+        .withColumn("day_first", F.coalesce("__day_url", "__day_id"))
+        .drop("__feed_url", "__source_id", "__tz_url", "__day_url", "__tz_id", "__day_id")
     )
 
 
@@ -101,17 +101,17 @@ def normalise_instants(items: DataFrame, locale: DataFrame, dictionary: InstantD
     keyed = rows.filter(F.col(text_col).isNotNull())
     counted = keyed.groupBy(F.col(text_col).alias("raw"), "tz_name", "day_first").agg(F.count(F.lit(1)).alias("n"))
     dictionary.extend(counted)
-    entries = dictionary.read().select(F.col("raw").alias("_raw"), F.col("tz_name").alias("_tz"), F.col("day_first").alias("_df"), F.col("instant_ms"))
-    same = (F.col(text_col) == F.col("_raw")) & F.col("tz_name").eqNullSafe(F.col("_tz")) & F.col("day_first").eqNullSafe(F.col("_df"))
+    entries = dictionary.read().select(F.col("raw").alias("__raw"), F.col("tz_name").alias("__tz"), F.col("day_first").alias("__day"), F.col("instant_ms"))
+    same = (F.col(text_col) == F.col("__raw")) & F.col("tz_name").eqNullSafe(F.col("__tz")) & F.col("day_first").eqNullSafe(F.col("__day"))
     total = keyed.count()
     hot = counted.filter(F.col("n") * HOT_SHARE > total).select("raw").distinct()  # at most HOT_SHARE texts
     hot_texts = [r[0] for r in hot.collect()]
     is_hot = F.coalesce(F.col(text_col).isin(hot_texts), F.lit(False)) if hot_texts else F.lit(False)
     cold = rows.filter(~is_hot).join(entries, same, "left")
     if not hot_texts:
-        return cold.drop("_raw", "_tz", "_df")
-    few = F.broadcast(entries.filter(F.col("_raw").isin(hot_texts)))
-    return cold.unionByName(rows.filter(is_hot).join(few, same, "left")).drop("_raw", "_tz", "_df")
+        return cold.drop("__raw", "__tz", "__day")
+    few = F.broadcast(entries.filter(F.col("__raw").isin(hot_texts)))
+    return cold.unionByName(rows.filter(is_hot).join(few, same, "left")).drop("__raw", "__tz", "__day")
 
 
 @query("p5_found")

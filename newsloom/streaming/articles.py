@@ -63,7 +63,7 @@ class Upserts:
         if old:
             rows = rows.unionByName(self.spark.read.schema(rows.schema).parquet(*old))
         others = [c for c in rows.columns if c not in (self.key, "bucket")]
-        newest = rows.groupBy(self.key, "bucket").agg(F.max(F.struct(self.order, *others)).alias("r"))
+        newest = rows.groupBy(self.key, "bucket").agg(F.max(F.struct(F.col(self.order).alias("_order"), *others)).alias("r"))
         target = f"{self.path}/batch={number}"
         newest.select(self.key, *(F.col(f"r.{c}").alias(c) for c in others), "bucket", F.col("bucket").alias("b")).repartition("b").write.mode("overwrite").partitionBy("b").parquet(target)
         for b in touched:
