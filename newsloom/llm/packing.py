@@ -102,7 +102,7 @@ class _Bins:
                 n_used -= 1
                 stuck.clear()
             elif changed:
-                stuck.discard(b)
+                stuck.clear()
             else:
                 stuck.add(b)
 
