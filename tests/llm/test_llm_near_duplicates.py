@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from newsloom.llm import near_duplicates
 from newsloom.llm.near_duplicates import mark_counts, near_duplicate_classes, near_duplicate_groups, parities, positional_bytes, words
 
 SCHEMA = "id string, title string, summary string, kind long, a long"
@@ -89,3 +90,9 @@ def test_edges(spark):
 def test_counts_cover_all_records(spark):
     rows = [(np.array([i, i + 1], np.uint32).tobytes(),) for i in range(10)]
     assert mark_counts(spark.createDataFrame([(bytearray(r[0]),) for r in rows], "marks binary").repartition(3)).sum() == 20
+
+
+def test_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BROADCAST_NAMES", 0)
+    rows = made(7)
+    assert expand(*near_duplicate_classes(spark.createDataFrame(rows, SCHEMA))) == brute(rows, 0.7)

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from newsloom.llm import spans
 from newsloom.llm.spans import maximal_repeats, rolling, code_points, shared_share, shared_spans
 
 SCHEMA = "doc_id long, text string, name long, a long, key long"
@@ -83,8 +84,8 @@ def test_shares(spark):
 
 
 def test_edges(spark):
-    spans, members = shared_spans(spark.createDataFrame([], SCHEMA))
-    assert spans.count() == 0 and members.count() == 0
+    found, members = shared_spans(spark.createDataFrame([], SCHEMA))
+    assert found.count() == 0 and members.count() == 0
     rng = random.Random(6)
     long = text(rng, 1000) * 1300  # longer than a chunk, with repeats within
     other = text(rng, 5000) + long[777_000:777_500]
@@ -92,3 +93,9 @@ def test_edges(spark):
     assert expand(*shared_spans(spark.createDataFrame(rows, SCHEMA))) == {(1, 2), (4, 5)}
     with pytest.raises(ValueError):
         shared_spans(spark.createDataFrame(rows, SCHEMA), 120)
+
+
+def test_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(spans, "BROADCAST_NAMES", 0)
+    rows = made(9)
+    assert expand(*shared_spans(spark.createDataFrame(rows, SCHEMA), 200)) == brute_pairs(rows, 200)
