@@ -142,6 +142,11 @@ shared_sql(
     """WITH now AS (SELECT max(MS(fetched_at)) AS t FROM articles)
        SELECT DISTINCT id, MS(published_at) AS published_ms FROM articles CROSS JOIN now WHERE published_at IS NOT NULL AND NOT (MS(published_at) BETWEEN t - 31536000000 AND t + 600000)""",
 )
+shared_sql(
+    "parse_date",
+    """WITH now AS (SELECT max(MS(fetched_at)) AS t FROM articles)
+       SELECT DISTINCT id, CASE WHEN MS(published_at) BETWEEN t - 31536000000 AND t + 600000 THEN MS(published_at) END AS accepted_ms FROM articles CROSS JOIN now""",
+)
 shared_sql(
     "assign_worklist",
     """WITH now AS (SELECT max(MS(fetched_at)) AS t FROM articles)
