@@ -229,6 +229,17 @@ def near_duplicate_groups(records: DataFrame, similarity: float = 0.7, *, id_col
     return members.select("key", "kind").distinct().join(grouped, "kind").select("key", "group_key", "links", "copies")
 
 
+#: The same pairs by counting the shared runs of every pair that has one.
+P4_SQL = """
+WITH t AS (SELECT id, regexp_extract_all(regexp_replace(lower(concat(coalesce(title, ''), ' ', summary)), '(\\p{Han})', ' \\1 ', 'g'), '[\\p{L}\\p{N}]+') AS w
+           FROM (SELECT DISTINCT id, title, summary FROM articles WHERE summary <> '') x),
+     g AS (SELECT id, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS run, count(*) AS c FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM t) x GROUP BY 1, 2),
+     n AS (SELECT id, sum(c) AS n FROM g GROUP BY id),
+     s AS (SELECT a.id AS id_a, b.id AS id_b, sum(least(a.c, b.c)) AS shared FROM g a JOIN g b ON a.run = b.run AND a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM s JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 10 * shared >= 7 * greatest(x.n, y.n)
+"""
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id_a`` < ``id_b``: pairs of near-duplicate articles.
 

@@ -284,6 +284,13 @@ def shared_share(documents: DataFrame, min_chars: int = 200, *, id_col: str = "d
     return out.select("key", "chars", "shared_chars", F.when(F.col("chars") > 0, F.round(F.col("shared_chars") / F.col("chars"), 6)).otherwise(0.0).alias("share"), "copies")
 
 
+#: The same pairs from every window of every text.
+P10_SQL = """
+WITH w AS (SELECT DISTINCT doc_id, hash(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200) x)
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id
+"""
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_a`` < ``doc_b``: pairs of documents with a common span of 200 characters.
 
