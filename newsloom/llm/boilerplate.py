@@ -27,6 +27,8 @@ from newsloom.plans.runtime import park, table
 
 #: Lines whose text lengths are summed.
 WINDOW = 3
+#: Letters that a Chinese character counts for, so that lengths mean the same amount of text.
+HAN_LETTERS = 3
 #: Sum of characters at which a block of text begins and below which it ends.
 SURGE = 90
 #: A part of a line is furniture if so large a share of a site's pages, and so many of them, have it ...
@@ -94,7 +96,7 @@ def _read_lines(content: str, furniture: set[int]) -> list[_Line]:
     for raw in content.split("\n"):
         line = _Line()
         line.text = text = line_text(raw)
-        line.size = len(text)
+        line.size = len(text) + (HAN_LETTERS - 1) * sum(map(len, _CJK.findall(text)))
         line.empty = not _LETTER.search(text)
         opened = depth > 0
         for close, _ in _OPEN.findall(raw) if "<" in raw else ():
@@ -105,7 +107,7 @@ def _read_lines(content: str, furniture: set[int]) -> list[_Line]:
         repeated = sum(n for p, n in parts if part_hash(p) in furniture)
         line.furniture = bool(letters) and repeated >= 0.55 * letters
         linked = sum(len(line_text(a)) for a in _ANCHOR.findall(raw)) if "<a" in raw else 0
-        line.link = linked >= 0.6 * max(1, line.size)
+        line.link = linked >= 0.6 * max(1, len(text))
         line.cue = opened or bool("=" in raw and _CUE.search(raw))
         line.heading = bool(re.match(r"\s*<h[1-6]\b", raw, re.I))
         line.head = bool(re.match(r"\s*<h1\b", raw, re.I))
