@@ -32,9 +32,21 @@ _ORDER = "published_at DESC NULLS LAST, fetched_at DESC NULLS LAST, id"
 _BOOT = f"SELECT * FROM ({_A}) x ORDER BY {_ORDER} LIMIT {BOOT}"
 
 
+def newest(spark: SparkSession, sf_dir: str, n: int, *columns: str, skip: int = 0) -> DataFrame:
+    """The newest ``n`` articles after the first ``skip``, in feed order.
+
+    Ids are deduplicated and ranked on three narrow columns; the wide columns
+    are read only for the ``n`` ids, which are broadcast, and never shuffled.
+    """
+    ids = articles(spark, sf_dir, "id", "published_at", "fetched_at").orderBy(*feed_order())
+    ids = (ids.offset(skip) if skip else ids).limit(n).select("id")
+    wanted = dict.fromkeys(["id", "published_at", "fetched_at", *(columns or FEED_COLUMNS)])
+    return table(spark, sf_dir, "articles").select(*wanted).join(F.broadcast(ids), "id", "left_semi").dropDuplicates(["id"]).orderBy(*feed_order())
+
+
 def boot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The serving window: the newest articles, a top-k report."""
-    return articles(spark, sf_dir).orderBy(*feed_order()).limit(BOOT)
+    return newest(spark, sf_dir, BOOT)
 
 
 @query("feed_boot", f"SELECT id, title, url, MS(published_at) AS published_ms, source_name, source_region FROM ({_BOOT}) b")
@@ -46,7 +58,7 @@ def feed_boot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("feed_page", f"SELECT id, title, source_name FROM ({_A}) x ORDER BY {_ORDER} LIMIT {PAGE} OFFSET {BOOT}")
 def feed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page after the serving window."""
-    return articles(spark, sf_dir, "id", "title", "source_name", "published_at", "fetched_at").orderBy(*feed_order()).offset(BOOT).limit(PAGE).select("id", "title", "source_name")
+    return newest(spark, sf_dir, PAGE, "title", "source_name", skip=BOOT).select("id", "title", "source_name")
 
 
 @query("feed_keyset_page", f"SELECT id, title FROM ({_A}) x WHERE id > 'a-0000000400' ORDER BY id LIMIT 1000")
@@ -175,7 +187,7 @@ _ESCAPE = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;
 )
 def rss_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One item per story in feed order as an RSS element: the export's fixed-size list."""
-    top = articles(spark, sf_dir).orderBy(*feed_order()).limit(EXPORT_ARTICLES)
+    top = newest(spark, sf_dir, EXPORT_ARTICLES)
     order = Window.partitionBy(F.lit(1)).orderBy(*feed_order())
     story = Window.partitionBy(F.coalesce("story_id", "id")).orderBy("pos")
     first = top.withColumn("pos", F.row_number().over(order)).withColumn("k", F.row_number().over(story)).filter("k = 1").orderBy("pos").limit(EXPORT_ITEMS)
