@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from newsloom.functions.text import DEFAULT_PHRASES, DEFAULT_WORDS, body_hash as hash_column, clean_title as title_column, keyword_relevant, normalise_summary
 from newsloom.operators.feed import articles
 from newsloom.plans.catalog import query, shared_sql
-from newsloom.plans.runtime import table
+from newsloom.plans.runtime import park, table
 
 CLASSIFY_CAP, BATCH = 300, 30
 
@@ -57,12 +57,13 @@ def classify_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """``rows`` with ``pos`` from 0 in an order, without sorting all in one task.
 
-    A range partitioning puts the order into partitions; the partitions' sizes
-    are added up, and each row's place within its partition is added to that.
+    A range partitioning puts the order into partitions, which are written, so
+    that their bounds stay as they are; their sizes are added up, and each row's
+    place within its partition is added to that.
     """
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parted = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id())
-    parted = parted.withColumn("_part", F.shiftright("_mid", 33)).withColumn("_at", F.col("_mid").bitwiseAND((1 << 33) - 1))
+    parted = park(parted.withColumn("_part", F.shiftright("_mid", 33)).withColumn("_at", F.col("_mid").bitwiseAND((1 << 33) - 1)), "numbered")
     sizes = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from newsloom.operators.feed import articles, boot, feed_order
 from newsloom.plans.catalog import query, shared_sql
-from newsloom.plans.runtime import table
 
 
 def story() -> F.Column:

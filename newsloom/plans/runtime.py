@@ -40,15 +40,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def park(df: DataFrame, label: str, *, partition_by: list[str] | None = None) -> DataFrame:
+def park(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -65,11 +62,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def parallelism(spark: SparkSession) -> int:
-    """Tasks that run at once on the cluster as it is configured."""
-    return max(1, spark.sparkContext.defaultParallelism)
-
-
 def local_session(app: str = "newsloom", cores: str | None = None) -> SparkSession:
     """A session for tests and benches on one machine."""
     n = cores or os.environ.get("BENCH_CPUS", "8")

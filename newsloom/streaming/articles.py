@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from newsloom.operators.vectors import HOURS, MOST_AGE_HOURS, THRESHOLD, assign_in_order
+from newsloom.operators.vectors import HOURS, MOST_AGE_HOURS, THRESHOLD
 from newsloom.plans.catalog import query
 from newsloom.plans.runtime import drop_path, fresh_path, path_exists, table
 
@@ -72,10 +72,10 @@ class Upserts:
             if before:
                 drop_path(self.spark, before)
 
-    def read(self, schema) -> DataFrame:
-        """The table as it is now."""
+    def read(self, columns: list[str]) -> DataFrame:
+        """The table as it is now; before the first row all its columns are strings."""
         there = [p for p in self.version.values() if path_exists(self.spark, p)]
-        return self.spark.read.parquet(*there).select(*schema) if there else self.spark.createDataFrame([], "id string").select(*schema)
+        return self.spark.read.parquet(*there).select(*columns) if there else self.spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
 
 
 @query("stream_articles", "SELECT id, source_name FROM articles")
@@ -170,6 +170,3 @@ def stream_assign(items: DataFrame, group_col: str) -> DataFrame:
     key or a coarse hash of the vector.
     """
     return items.groupBy(group_col).transformWithStateInPandas(StarLinkage(), outputStructType="id string, story string, is_new boolean", outputMode="Append", timeMode="None")
-
-
-__all__ = ["StarLinkage", "Upserts", "article_stream", "assign_in_order", "deduplicated", "drain", "stream_assign"]
