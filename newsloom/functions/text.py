@@ -11,6 +11,7 @@ from pyspark.sql import Column, functions as F, types as T
 DEFAULT_WORDS = ("ceasefire", "shelling", "drone", "curfew", "sanctions", "evacuation", "convoy", "prisoner", "border")
 DEFAULT_PHRASES = ("air raid", "prisoner exchange", "peace talks", "hospital evacuation")
 
+# Format marks that titles lose, and the characters that count as blanks.
 _FORMAT_MARKS = "[\\u200B-\\u200F\\u202A-\\u202E\\u2066-\\u2069\\uFEFF]"
 _BLANKS = "[\\s\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]+"
 

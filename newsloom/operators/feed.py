@@ -134,6 +134,7 @@ shared_sql(
 )
 def day_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stories of the serving window, and whether each begins another day than the one before it."""
+    # a single value, not a product of tables
     now = articles(spark, sf_dir, "fetched_at").agg(F.max("fetched_at").alias("now"))
     c = boot(spark, sf_dir).groupBy(F.coalesce("story_id", "id").alias("story")).agg(F.max("published_at").alias("rep_at")).crossJoin(now)
     day = F.when(F.col("rep_at").isNull(), "unknown").otherwise(F.date_format(F.least("rep_at", "now"), "yyyy-MM-dd"))

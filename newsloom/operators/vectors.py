@@ -167,6 +167,7 @@ def centroid(vectors: DataFrame, vector_col: str = "embedding") -> DataFrame:
 
 
 def _recent_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a single value, not a product of tables
     since = articles(spark, sf_dir, "fetched_at").agg((F.unix_millis(F.max("fetched_at")) - 14 * 24 * _HOUR_MS).alias("since"))
     recent = embedded(spark, sf_dir, "fetched_at").crossJoin(since).filter(F.unix_millis("fetched_at") >= F.col("since"))
     return centroid(recent)
