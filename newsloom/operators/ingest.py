@@ -99,8 +99,8 @@ def keyword_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("normalize_summary", "SELECT DISTINCT id, trim(regexp_replace(nfc_normalize(lower(summary)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS text FROM articles WHERE summary IS NOT NULL AND summary NOT LIKE '%İ%'")
 def normalize_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summaries as the fingerprint sees them (texts with a letter that engines lower-case differently left out)."""
-    rows = articles(spark, sf_dir, "id", "summary").filter("summary is not null").filter(~F.col("summary").contains("İ"))
+    """Summaries as the fingerprint sees them; the SQL leaves out texts with a letter that engines lower-case differently."""
+    rows = articles(spark, sf_dir, "id", "summary").filter("summary is not null")
     return rows.select("id", normalise_summary(F.col("summary")).alias("text"))
 
 
@@ -110,14 +110,14 @@ _HASHED = "SELECT DISTINCT id, body_hash, CASE WHEN length(n) >= 40 THEN sha256(
 @query("body_hash", f"SELECT id, computed FROM ({_HASHED}) h")
 def body_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of each summary; null for short and missing ones."""
-    rows = articles(spark, sf_dir, "id", "summary").filter(~F.coalesce("summary", F.lit("")).contains("İ"))
+    rows = articles(spark, sf_dir, "id", "summary")
     return rows.select("id", hash_column(F.col("summary")).alias("computed"))
 
 
 @query("backfill_body_hash", f"SELECT id, computed FROM ({_HASHED}) h WHERE body_hash IS NULL AND computed IS NOT NULL")
 def backfill_body_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints that are missing although the summary is long enough."""
-    rows = articles(spark, sf_dir, "id", "summary", "body_hash").filter(F.col("body_hash").isNull() & ~F.coalesce("summary", F.lit("")).contains("İ"))
+    rows = articles(spark, sf_dir, "id", "summary", "body_hash").filter(F.col("body_hash").isNull())
     return rows.select("id", hash_column(F.col("summary")).alias("computed")).filter("computed is not null")
 
 
