@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from newsloom.functions.text import DEFAULT_PHRASES, DEFAULT_WORDS, body_hash as hash_column, clean_title as title_column, keyword_relevant, normalise_summary
 from newsloom.operators.feed import articles
-from newsloom.plans.catalog import query, shared_sql
+from newsloom.operators.timestamps import InstantDictionary, normalise_instants
+from newsloom.plans.catalog import QUERIES, query, shared_sql
 from newsloom.plans.runtime import park, table
 
 CLASSIFY_CAP, BATCH = 300, 30
@@ -50,10 +51,33 @@ shared_sql(
 
 @query("classify_cap", f"SELECT id, batch_no FROM (SELECT id, batch_no, fetched_at FROM feed_items ORDER BY fetched_at DESC NULLS LAST, id LIMIT {CLASSIFY_CAP}) c")
 def classify_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest items that one run hands to the classifier; the rest is deferred."""
+    """The last fetched items, as the SQL states it; ``classify_queue`` has the cap of a run over new items."""
     return items(spark, sf_dir, "id", "batch_no", "fetched_at").orderBy(F.col("fetched_at").desc_nulls_last(), "id").limit(CLASSIFY_CAP).select("id", "batch_no")
 
 
+MAX_FUTURE_MS, MAX_AGE_MS = 600_000, 365 * 86_400_000
+
+
+@query("classify_queue")
+def classify_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``guid``, ``id``, ``first_id``, ``published_ms``, ``chosen`` of every item not yet known, once for each guid.
+
+    The newest ``CLASSIFY_CAP`` by publication instant are chosen, those without
+    an accepted instant last and equal ones in order of arrival; the rest is
+    deferred.  An instant is accepted as in ``parse_date``, with the last fetch
+    of the items as now.
+    """
+    unique = ingest_dedup(spark, sf_dir).join(QUERIES["existing_guids"](spark, sf_dir), "guid", "left_anti")
+    rows = items(spark, sf_dir, "id", "published_at", "feed_url", "source_id", "fetched_at")
+    now = rows.agg(F.unix_millis(F.max("fetched_at"))).first()[0]  # one value
+    dated = normalise_instants(rows.drop("fetched_at").join(unique, "id").dropDuplicates(["guid"]), table(spark, sf_dir, "feed_locale"), InstantDictionary(spark))
+    accepted = F.when(F.col("instant_ms").between(F.lit(now) - MAX_AGE_MS, F.lit(now) + MAX_FUTURE_MS), F.col("instant_ms"))
+    fresh = park(dated.select("guid", "id", "first_id", accepted.alias("published_ms")), "classify-queue")
+    chosen = fresh.orderBy(F.col("published_ms").desc_nulls_last(), "first_id").limit(CLASSIFY_CAP).select("guid", F.lit(True).alias("chosen"))
+    # at most CLASSIFY_CAP rows
+    return fresh.join(F.broadcast(chosen), "guid", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+
+
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """``rows`` with ``pos`` from 0 in an order, without sorting all in one task.
 
