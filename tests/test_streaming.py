@@ -1,3 +1,4 @@
+import os
 import time
 
 import pandas as pd
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.operators.ingest import numbered, valid_verdict
 from newsloom.operators.reader import ipv4_number, is_private_ipv4, url_allowed
 from newsloom.plans.runtime import fresh_path
-from newsloom.streaming.articles import Upserts, article_stream, deduplicated, drain, stream_assign
+from newsloom.streaming.articles import Upserts, article_stream, deduplicated, drain, stream_assign, stream_rate_windows
 
 HOUR = 3_600_000
 
@@ -19,6 +20,20 @@ def test_dedup_over_files(spark, tmp_path):
     assert sorted(r.id for r in drain(deduplicated(stream, ["id"], "at"), "t").collect()) == ["a", "b", "c0", "c1", "c2"]
 
 
+def test_rate_windows_over_files_out_of_order(spark, tmp_path):
+    """Twelve files in three micro-batches, newest first: the third meets the watermark of the first."""
+    folder = tmp_path / "events.parquet"
+    for i in range(12):
+        before = set(folder.glob("*.parquet")) if folder.exists() else set()
+        rows = [(user, pd.Timestamp(2026, 1, 28 - 2 * i, 5, minute).to_pydatetime()) for user in (1, 2) for minute in (0, 59)] + [(1, pd.Timestamp(2026, 1, 28, 5, 30).to_pydatetime())]
+        spark.createDataFrame(rows, "user_id long, ts timestamp").coalesce(1).write.mode("append").parquet(str(folder))
+        for f in set(folder.glob("*.parquet")) - before:
+            os.utime(f, (1_700_000_000 + 10 * i,) * 2)
+    got = {(r.user_id, r.window_ms): r.requests for r in stream_rate_windows(spark, str(tmp_path)).collect()}
+    hours = [int(pd.Timestamp(2026, 1, 28 - 2 * i, 5, tz="UTC").timestamp() * 1000) for i in range(12)]
+    assert got == {(user, h): 2 for user in (1, 2) for h in hours} | {(1, hours[0]): 14}
+
+
 def test_upserts_keep_the_last_write(spark):
     state = Upserts(spark, "k", "v", buckets=3)
     for n, batch in enumerate([[("a", 1), ("b", 1)], [("a", 2), ("c", 1)], [], [("b", 3), ("b", 2)]]):
