@@ -95,22 +95,28 @@ def _sliding(h: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(h[:-rest], h[rest:]) if rest else h
 
 
-def _pieces(names: list[int], texts: list[str], run: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(code points, rows of (name, start, end)) of about CHUNK characters; long texts in overlapping pieces."""
+def _pieces(names: list[int], texts: list[str], run: int, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(code points, rows of (name, first, start, end, last)) of about CHUNK characters; long texts in overlapping pieces.
+
+    From ``first`` to ``start`` and from ``end`` to ``last`` are up to ``reach``
+    characters of the text on both sides of a piece.
+    """
     points, spans, at = [], [], 0
     for name, text in zip(names, texts):
         whole = code_points(text)
         step = (CHUNK - run) // BLOCK * BLOCK
         for start in range(0, max(1, len(whole) - run + 1), step):
-            piece = whole[start : start + step + run - 1]
+            lead = min(reach, start)
+            size = len(whole[start : start + step + run - 1])
+            piece = whole[start - lead : start + size + reach]
             if at + len(piece) > CHUNK and points:
-                yield np.concatenate(points), np.array(spans, np.int64).reshape(-1, 3)
+                yield np.concatenate(points), np.array(spans, np.int64).reshape(-1, 5)
                 points, spans, at = [], [], 0
             points.append(piece)
-            spans.append((name, at, at + len(piece)))
+            spans.append((name, at, at + lead, at + lead + size, at + len(piece)))
             at += len(piece)
     if points:
-        yield np.concatenate(points), np.array(spans, np.int64).reshape(-1, 3)
+        yield np.concatenate(points), np.array(spans, np.int64).reshape(-1, 5)
 
 
 def _anchors(names: list[int], texts: list[str], run: int, reach: int) -> Iterator[list[np.ndarray]]:
@@ -120,16 +126,16 @@ def _anchors(names: list[int], texts: list[str], run: int, reach: int) -> Iterat
     more on that side, or chance where the text ends before.
     """
     width = run - GRAM + 1
-    for points, spans in _pieces(names, texts, run):
+    for points, spans in _pieces(names, texts, run, reach):
         if len(points) < run:
             continue
         sums = _prefix_sums(points)
         h = _mix((sums[GRAM:] - sums[:-GRAM]) * _Powers.of(len(sums))[1][: len(points) - GRAM + 1])
         least = _sliding(h, width, np.minimum)
         at = np.arange(len(least))
-        starts, ends = spans[:, 1], spans[:, 2]
-        owner = np.searchsorted(starts, at, side="right") - 1
-        inside = at + run <= ends[owner]
+        firsts, starts, ends, lasts = spans[:, 1:].T
+        owner = np.searchsorted(firsts, at, side="right") - 1
+        inside = (at >= starts[owner]) & (at + run <= ends[owner])
         # a place represents a window if it is least in one of the windows over it
         most = _sliding(np.pad(np.where(inside, least, np.uint64(0)), width - 1), width, np.maximum)
         chosen = np.flatnonzero(most == h)
@@ -140,9 +146,9 @@ def _anchors(names: list[int], texts: list[str], run: int, reach: int) -> Iterat
             hit = h[left + offset] == values
             block[left[hit] + offset] = True
             left, values = left[~hit], values[~hit]
-        owner = np.searchsorted(starts, chosen, side="right") - 1
+        owner = np.searchsorted(firsts, chosen, side="right") - 1
         sides = []
-        for first, fits in ((chosen - reach, chosen - reach >= starts[owner]), (chosen, chosen + GRAM + reach <= ends[owner])):
+        for first, fits in ((chosen - reach, chosen - reach >= firsts[owner]), (chosen, chosen + GRAM + reach <= lasts[owner])):
             chance = _mix(_mix(spans[owner, 0].view(np.uint64)) + chosen.astype(np.uint64) + np.uint64(len(sides)))
             sides.append(np.where(fits, _hash_at(sums, np.where(fits, first, 0), min(GRAM + reach, len(points))), chance))
         yield [h[chosen].view(np.int64), spans[owner, 0], sides[0].view(np.int64), sides[1].view(np.int64), block[chosen]]

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from newsloom.llm import spans
@@ -95,6 +96,43 @@ def test_edges(spark):
         shared_spans(spark.createDataFrame(rows, SCHEMA), 120)
 
 
+def test_spans_over_the_edges_of_pieces(monkeypatch):
+    """Spans of just 200 characters about the edge between two pieces of a long text."""
+    monkeypatch.setattr(spans, "CHUNK", 2000)
+    run, reach, d = spans._run_length(200), 50, 10
+    edge = (2000 - run) // spans.BLOCK * spans.BLOCK
+    rng = random.Random(11)
+
+    def hashes(t):
+        return rolling(code_points(t), spans.GRAM).tolist()
+
+    def lead(shared, n):
+        """Characters before the span of which the block before the edge has its own least hash."""
+        while True:
+            t = text(rng, n)
+            h = hashes(t[-15:] + shared[: d + 150])
+            if min(h[:15]) < min(h[15:]):
+                return t
+
+    cases = [(start, text(rng, start), text(rng, 200), text(rng, 40)) for start in range(edge - 220, edge + 220, 5)]
+    while len(cases) < 100:
+        # the window at the edge is represented by a place less than reach behind the edge, the one before it by another
+        shared = text(rng, 200)
+        h = hashes(shared)[: d + 76]
+        place = min(range(d, d + 76), key=h.__getitem__)
+        if min(h) == h[d - 1] and reach < place < d + reach:
+            cases.append((edge - d, lead(shared, edge - d), shared, lead(shared, 40)))
+    missed = []
+    for start, before, shared, ahead in cases:
+        sides = []
+        for name, t in ((1, before + shared + text(rng, 3000)), (2, ahead + shared + text(rng, 41))):
+            columns = [np.concatenate(c) for c in zip(*spans._anchors([name], [t], run, reach))]
+            sides.append(list(zip(*(c.tolist() for c in columns))))
+        if not any(a[0] == b[0] and (a[2] == b[2] or a[3] == b[3]) and (a[4] or b[4]) for a in sides[0] for b in sides[1]):
+            missed.append(start - edge)
+    assert missed == []
+
+
 def test_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(spans, "BROADCAST_NAMES", 0)
     rows = made(9)
