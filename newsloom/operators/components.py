@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from newsloom.plans.runtime import park
+from newsloom.plans.runtime import drop_path, park_at
 
 _MOST_ROUNDS = 60
 
@@ -36,14 +36,17 @@ def component_labels(links: DataFrame) -> DataFrame:
     Self links and nulls are ignored, repeated links count once, an empty table
     gives an empty one.
     """
-    now = park(links.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    spark = links.sparkSession
+    now, path = park_at(links.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     seen = None
     for _ in range(_MOST_ROUNDS):
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark["n"] == 0 or (mark["n"], mark["h"]) == seen:
             break
         seen = (mark["n"], mark["h"])
-        now = park(_small_star(_large_star(now)), "links")
+        before = path
+        now, path = park_at(_small_star(_large_star(now)), "links")
+        drop_path(spark, before)
     else:
         raise RuntimeError("the components did not settle")
     return now.select(F.col("b").alias("node"), F.col("a").alias("label")).unionAll(now.select(F.col("a").alias("node"), F.col("a").alias("label"))).distinct()

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from newsloom.operators.ingest import numbered, valid_verdict
 from newsloom.operators.reader import ipv4_number, is_private_ipv4, url_allowed
-from newsloom.plans.runtime import fresh_path
+from newsloom.plans.runtime import fresh_path, one_machine
+from newsloom.streaming import articles
 from newsloom.streaming.articles import Upserts, article_stream, deduplicated, drain, stream_assign, stream_rate_windows
 
 HOUR = 3_600_000
@@ -42,15 +43,73 @@ def test_upserts_keep_the_last_write(spark):
     assert {r.k: r.v for r in state.read(["k", "v"]).collect()} == {"a": 2, "b": 3, "c": 1}
 
 
-def test_stateful_assignment(spark, tmp_path):
+def test_upserts_survive_replay_restart_and_disorder(spark, tmp_path):
+    path = str(tmp_path / "held")
+    batches = [[("a", 1), ("b", 1)], [("a", 2), ("c", 1)], [("b", 3), (None, 9)]]
+    frames = [spark.createDataFrame(b, "k string, v int") for b in batches]
+    want = {"a": 2, "b": 3, "c": 1}
+    state = Upserts(spark, "k", "v", buckets=2, path=path)
+    for n in (0, 1, 1, 0, 2, 2):
+        state.apply(frames[n], n)
+    assert {r.k: r.v for r in state.read(["k", "v"]).collect()} == want
+    again = Upserts(spark, "k", "v", path=path)
+    assert {r.k: r.v for r in again.read(["k", "v"]).collect()} == want
+    again.apply(frames[2], 2)
+    again.apply(frames[0], 0)
+    assert {r.k: r.v for r in Upserts(spark, "k", "v", path=path).read(["k", "v"]).collect()} == want
+
+
+def test_an_attempt_that_died_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch):
+    state = Upserts(spark, "k", "v", path=str(tmp_path / "held"))
+    state.apply(spark.createDataFrame([("a", 1)], "k string, v int"), 0)
+
+    def die(*_):
+        raise OSError("gone")
+
+    with monkeypatch.context() as broken, pytest.raises(OSError):
+        broken.setattr(articles, "write_text", die)
+        state.apply(spark.createDataFrame([("a", 2)], "k string, v int"), 1)
+    again = Upserts(spark, "k", "v", path=str(tmp_path / "held"))
+    assert {r.k: r.v for r in again.read(["k", "v"]).collect()} == {"a": 1}
+    again.apply(spark.createDataFrame([("a", 2)], "k string, v int"), 1)
+    assert {r.k: r.v for r in again.read(["k", "v"]).collect()} == {"a": 2}
+
+
+def test_upserts_grow_and_patches_keep_to_known_keys(spark):
+    state = Upserts(spark, "k", "v", buckets=1, bucket_rows=10)
+    for n in range(4):
+        state.apply(spark.createDataFrame([(f"k{i}", n) for i in range(20 * n, 20 * n + 20)], "k string, v int"), n)
+    assert state.buckets == 8 and state.read(["k"]).count() == 80
+    state.apply(spark.createDataFrame([("k1", 9), ("new", 9)], "k string, v int"), 4, known_only=True)
+    got = {r.k: r.v for r in state.read(["k", "v"]).collect()}
+    assert len(got) == 80 and got["k1"] == 9 and "new" not in got
+
+
+def test_a_stream_resumes(spark, tmp_path):
+    into, out, progress = (str(tmp_path / x) for x in ("in", "out", "progress"))
+    for day in (1, 2):
+        spark.createDataFrame([(f"a{day}",)], "id string").coalesce(1).write.mode("append").parquet(into)
+        got = drain(article_stream(spark, into, "id"), "t", out=out, progress=progress)
+        assert got.count() == day
+
+
+def test_a_cluster_needs_a_shared_folder():
+    assert one_machine("local") and one_machine("local[4]") and not one_machine("local-cluster[2,1,1024]") and not one_machine("spark://h:7077")
+
+
+@pytest.mark.parametrize("timed", [False, True])
+def test_stateful_assignment(spark, tmp_path, timed):
     v, w = [1.0, 0.0], [0.0, 1.0]
     batches = [[("a", 0, v, "g"), ("b", HOUR, v, "g")], [("c", 2 * HOUR, w, "g"), ("d", 9 * HOUR, v, "g")], [("e", 30 * HOUR, v, "g")]]
     for rows in batches:
+        rows = [(i, 500_000 * HOUR + t, x, g) for i, t, x, g in rows]
         spark.createDataFrame(rows, "id string, t long, vector array<double>, grp string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         time.sleep(1.1)  # files are taken in order of their time
     stream = article_stream(spark, str(tmp_path / "in"), "id", "t", "vector", "grp", files_per_trigger=1)
+    if timed:
+        stream = stream.withColumn("at", F.timestamp_millis("t"))
     try:
-        out = drain(stream_assign(stream, "grp"), "assign")
+        out = drain(stream_assign(stream, "grp", time_col="at" if timed else None), "assign")
     except Exception as problem:  # noqa: BLE001
         if "RocksDB" in str(problem) or "ModuleNotFound" in str(problem):
             pytest.skip("no state store for this operator here")
