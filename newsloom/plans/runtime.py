@@ -106,6 +106,12 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in system.listStatus(target)) if system.exists(target) else []
 
 
+def tree_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path."""
+    system, target = _file_system(spark, path)
+    return system.getContentSummary(target).getLength() if system.exists(target) else 0
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file whole: readers see all of it or nothing."""
     system, target = _file_system(spark, path)
