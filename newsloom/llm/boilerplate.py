@@ -18,12 +18,14 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.plans.runtime import park, table
+from newsloom.plans.skew import split_join
 
 #: Lines whose text lengths are summed.
 WINDOW = 3
@@ -39,6 +41,8 @@ ALL_SHARE, ALL_PAGES = 0.002, 4
 WORD_SHARE, WORD_COUNT = 0.0005, 3
 #: Characters of a paragraph that is running text whatever it is about.
 DENSE = 240
+#: Names of furniture that may be broadcast (8 bytes each); beyond it pages are shuffled, hot parts in blocks.
+BROADCAST_PARTS = 500_000
 
 _TAG = re.compile(r"<[^<>]*>")
 _ANCHOR = re.compile(r"<a\b[^>]*>(.*?)</a>", re.I | re.S)
@@ -49,6 +53,7 @@ _PARTS = re.compile(r"[.|–—·•/:!?。！？؟：｜]+|\s{2,}|\s-\s")
 _NUMBERS = re.compile(r"[(\[（]?\d[\d.,:\-–/ ]*[)\]）]?")
 _EDGE = " \t\"'“”„«»()[]（）,;،、，…*_-–"
 _LETTER = re.compile(r"[^\W\d_]")
+_NO_LETTERS = re.compile(r"[\W\d_]+")
 _DATE = re.compile(r"\d{1,4}[./-]\d{1,2}[./-]\d{1,4}|\d{1,2}:\d{2}")
 _SENTENCE_END = re.compile(r"[.!?。！？؟…][\"'”“»’)\]]*\s*(?:\([^()]{0,40}\))?$")
 _NUMBERED = re.compile(r"^\s*\d{1,2}\s*[.)]\s+\S")
@@ -56,6 +61,8 @@ _COLON_END = re.compile(r"[:：]\s*$")
 _CJK = re.compile(r"[㐀-䶿一-鿿]+")
 _WORD = re.compile(r"[^\W\d_㐀-䶿一-鿿]{3,}")
 _HEADLINE_SHAPE = re.compile(r"^[^:：]{2,40}[:：]\s*\S|[–—]\s*\S+(?:\s\S+)?\s*(?:\.\.\.|…)?$|\([^()]{2,30}\)\s*(?:\.\.\.|…)?$")
+_HEADING = re.compile(r"\s*<h([1-6])\b", re.I)
+_DIGIT = re.compile(r"\d")
 _ITEMS = re.compile(r"\s*[,،、，;]\s*")
 
 
@@ -69,7 +76,7 @@ def line_parts(text: str) -> list[tuple[str, int]]:
     found = []
     for part in _PARTS.split(_NUMBERS.sub(" ", text)):
         part = " ".join(part.strip(_EDGE).lower().split())
-        letters = len(_LETTER.findall(part))
+        letters = len(_NO_LETTERS.sub("", part))
         if letters:
             found.append((part, letters))
     return found
@@ -80,6 +87,12 @@ def part_hash(part: str) -> int:
     return xxhash.xxh3_64_intdigest(part) - (1 << 63)
 
 
+@lru_cache(maxsize=50_000)
+def hashed_parts(text: str) -> tuple[tuple[int, int], ...]:
+    """Names of the parts of a line and their letters; a site's furniture is read once for many pages."""
+    return tuple((part_hash(p), n) for p, n in line_parts(text))
+
+
 def title_words(title: str | None) -> set[str]:
     """Words of three letters and more; pairs of Chinese characters."""
     title = (title or "").lower()
@@ -96,28 +109,29 @@ def _read_lines(content: str, furniture: set[int]) -> list[_Line]:
     for raw in content.split("\n"):
         line = _Line()
         line.text = text = line_text(raw)
-        line.size = len(text) + (HAN_LETTERS - 1) * sum(map(len, _CJK.findall(text)))
+        line.size = len(text) + (0 if text.isascii() else (HAN_LETTERS - 1) * sum(map(len, _CJK.findall(text))))
         line.empty = not _LETTER.search(text)
         opened = depth > 0
         for close, _ in _OPEN.findall(raw) if "<" in raw else ():
             depth = max(0, depth - 1) if close else depth + 1
             opened = opened or not close
-        parts = line_parts(text)
+        parts = hashed_parts(text)
         letters = sum(n for _, n in parts)
-        repeated = sum(n for p, n in parts if part_hash(p) in furniture)
+        repeated = sum(n for p, n in parts if p in furniture)
         line.furniture = bool(letters) and repeated >= 0.55 * letters
         linked = sum(len(line_text(a)) for a in _ANCHOR.findall(raw)) if "<a" in raw else 0
         line.link = linked >= 0.6 * max(1, len(text))
         line.cue = opened or bool("=" in raw and _CUE.search(raw))
-        line.heading = bool(re.match(r"\s*<h[1-6]\b", raw, re.I))
-        line.head = bool(re.match(r"\s*<h1\b", raw, re.I))
+        heading = _HEADING.match(raw) if "<" in raw else None
+        line.heading = heading is not None
+        line.head = heading is not None and heading[1] == "1"
         line.numbered = bool(_NUMBERED.match(text))
         line.ended = bool(_SENTENCE_END.search(text))
-        line.meta = line.size < 90 and bool(_DATE.search(text)) and not line.ended
-        items = _ITEMS.split(text)
-        line.items = len(items) >= 3 and not line.ended and all(0 < len(i) <= 45 and len(i.split()) <= 6 and not re.search(r"\d", i) for i in items)
+        line.meta = line.size < 90 and not line.ended and bool(_DATE.search(text))
+        items = [] if line.ended or _DIGIT.search(text) else _ITEMS.split(text)
+        line.items = len(items) >= 3 and all(0 < len(i) <= 45 and len(i.split()) <= 6 for i in items)
         line.colon = bool(_COLON_END.search(text))
-        line.shape = bool(_HEADLINE_SHAPE.search(text)) and not line.ended and line.size < 160
+        line.shape = not line.ended and line.size < 160 and bool(_HEADLINE_SHAPE.search(text))
         line.named = False
         line.teaser_mark = "teaser" in raw
         lines.append(line)
@@ -239,7 +253,7 @@ def furniture_parts(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             keys, sites, names = [], [], []
             for key, site, content in zip(*(batch.column(c).to_pylist() for c in ("url", "site", "content"))):
-                for name in {part_hash(p) for line in content.split("\n") for p, _ in line_parts(line_text(line))}:
+                for name in {p for line in content.split("\n") for p, _ in hashed_parts(line_text(line))}:
                     keys.append(key)
                     sites.append(site)
                     names.append(name)
@@ -258,18 +272,23 @@ def main_text(pages: DataFrame, *, url_col: str = "url", title_col: str = "title
     """``url``, ``line_no``, ``line``: the lines of each page's own report, as stored; the first line is 0.
 
     Null urls and null or empty contents give no lines, pages without a report
-    give none either; of repeated rows of one url one counts; an empty table
-    gives an empty result; further columns are ignored.
+    give none either; rows of one url that differ are pages each, equal ones
+    count once; an empty table gives an empty result; further columns are
+    ignored.
     """
     spark = pages.sparkSession
-    rows = pages.select(F.col(url_col).alias("url"), F.col(title_col).alias("title"), F.col(content_col).alias("content")).filter("url is not null and content <> ''")
+    rows = pages.select(F.col(url_col).alias("url"), F.col(title_col).alias("title"), F.col(content_col).alias("content")).filter("url is not null and content <> ''").distinct()
     found, repeated = furniture_parts(rows)
     words = rows.select("title").mapInArrow(_title_words, "word string").groupBy("word").count()
     # at most 1 / WORD_SHARE times the words of a headline
     limit = max(WORD_COUNT, WORD_SHARE * rows.count())
     common = spark.sparkContext.broadcast({r[0] for r in words.filter(F.col("count") > limit).select("word").collect()})
-    marks = found.join(repeated, "part").groupBy("url").agg(F.collect_set("part").alias("parts"))
-    one = rows.groupBy("url").agg(F.min(F.struct("content", "title")).alias("r")).select("url", "r.content", "r.title")
+    # a part of furniture is on very many pages
+    if repeated.count() <= BROADCAST_PARTS:
+        marked = found.join(F.broadcast(repeated), "part")
+    else:
+        marked = split_join(found, repeated.withColumn("name", F.col("part")), "part", left_by="url", right_by="name", counted=found.select("part"))
+    marks = marked.groupBy("url").agg(F.collect_set("part").alias("parts"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,7 +301,7 @@ def main_text(pages: DataFrame, *, url_col: str = "url", title_col: str = "title
                     texts.append(lines[i])
             yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=["url", "line_no", "line"])
 
-    return one.join(marks, "url", "left").select("url", "title", "content", "parts").mapInArrow(extract, "url string, line_no int, line string")
+    return rows.join(marks, "url", "left").select("url", "title", "content", "parts").mapInArrow(extract, "url string, line_no int, line string")
 
 
 def _title_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,4 +311,4 @@ def _title_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``url``, ``line_no``: each line that belongs to the main body of its page."""
-    return main_text(table(spark, sf_dir, "article_content").select("url", "title", "content")).select("url", "line_no")
+    return main_text(table(spark, sf_dir, "article_content").select("url", "title", "content")).select("url", "line_no").distinct()

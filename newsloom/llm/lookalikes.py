@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.plans.runtime import park, table
+from newsloom.plans.skew import split_join
 
 # Letters that look like a Latin letter, by script.
 CYRILLIC_LOOKALIKES = dict(zip("аеорсухѕіјһԁԛԝӏАВЕНІЈКМОРСТУХЅҺԌԚԜҮѴ", "aeopcyxsijhdqwlABEHIJKMOPCTYXShGQWYV"))
@@ -213,8 +214,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The result is stated as pairs, so spellings are expanded here and only here.
     """
-    read = same_reading(table(spark, sf_dir, "articles").select("id", "title"))
-    read = park(read.filter("spellings > 1 and form <> '' and form <> '(no title)'"), "same-reading")
-    one = read.select(F.col("id").alias("i"), F.col("text").alias("t"), "form")
-    two = read.select(F.col("id").alias("j"), F.col("text").alias("u"), "form")
-    return one.join(two, "form").filter("t <> u and i < j").select(F.col("i").alias("id_a"), F.col("j").alias("id_b")).distinct()
+    articles = table(spark, sf_dir, "articles").select("id", "title")
+    forms = park(one_form(articles).filter("form <> '' and form <> '(no title)'"), "text-forms")
+    several = forms.groupBy("form").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("form")
+    # spellings meet once, however many records have them; a form has few
+    spelled = park(forms.join(several, "form", "left_semi"), "spellings")
+    pairs = spelled.select("form", F.col("text").alias("t")).join(spelled.select("form", F.col("text").alias("u")), "form").filter("t < u").select("t", "u")
+    rows = articles.filter("id is not null and title is not null").join(spelled.select(F.col("text").alias("title")), "title", "left_semi").select(F.col("id").cast("string").alias("id"), "title").distinct()
+    one, two = rows.select(F.col("id").alias("i"), F.col("title").alias("t")), rows.select(F.col("id").alias("j"), F.col("title").alias("u"))
+    found = split_join(split_join(pairs, one, "t", left_by="u", right_by="i"), two, "u", left_by="i", right_by="j")
+    return found.filter("i <> j").select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()

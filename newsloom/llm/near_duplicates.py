@@ -18,7 +18,14 @@ Scale.  The global order comes from counts over all records in a table of fixed
 size; how well it separates rare from frequent only changes how many pairs are
 verified.  Records with the same word sequence are one class from the first
 step, so a group of copies costs one record and is never expanded to pairs
-here.
+here.  A positional byte that very many records index is divided into blocks,
+whose pairs are met by different tasks.
+
+Error.  Classes are named by 64-bit hashes of their words, and runs are
+compared by the 32 bits of their positional bytes: of n classes, two with
+different words share a name with a chance of n*n / 2**65 (one in 370 for 10**8
+classes), and two unlike runs of a pair of records of n runs agree with a chance of
+n*n / 2**32 (one in a million for 64 runs).
 """
 
 from __future__ import annotations
@@ -32,7 +39,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.operators.components import component_labels
-from newsloom.plans.runtime import park, table
+from newsloom.plans.runtime import drop_path, park, park_at, table
+from newsloom.plans.skew import HOT_ROWS, split_join
 
 #: Neighbouring words in a run.
 RUN = 3
@@ -136,7 +144,7 @@ def mark_counts(described: DataFrame) -> np.ndarray:
     return counts.ravel()
 
 
-def near_duplicate_classes(records: DataFrame, similarity: float = 0.7, *, id_col: str = "id", title_col: str = "title", body_col: str = "summary") -> tuple[DataFrame, DataFrame]:
+def near_duplicate_classes(records: DataFrame, similarity: float = 0.7, *, id_col: str = "id", title_col: str = "title", body_col: str = "summary", hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): near-duplicate classes of records and who belongs to them.
 
     ``pairs``: ``a`` < ``b``, ``similarity``: share of the longer sequence's
@@ -150,18 +158,19 @@ def near_duplicate_classes(records: DataFrame, similarity: float = 0.7, *, id_co
         raise ValueError("similarity must lie between 0.5 and 1")
     spark = records.sparkSession
     texts = records.select(F.col(id_col).cast("string").alias("key"), F.col(title_col).alias("title"), F.col(body_col).alias("body")).filter("key is not null and body <> ''")
-    described = park(texts.mapInArrow(_describe, "key string, kind long, n int, marks binary"), "positional-bytes").filter("n > 0")
+    described, path = park_at(texts.mapInArrow(_describe, "key string, kind long, n int, marks binary"), "positional-bytes")
+    members = park(described.filter("n > 0").select("key", "kind", "n").distinct(), "near-duplicate-members")
+    # one row for each sequence of words, before anything is indexed
+    described = park(described.filter("n > 0").groupBy("kind").agg(F.first(F.struct("n", "marks")).alias("r")).select("kind", "r.n", "r.marks"), "word-classes")
+    drop_path(spark, path)
     counts = spark.sparkContext.broadcast(mark_counts(described))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = batch.column("kind").to_numpy()
-            _, first = np.unique(kinds, return_index=True)
-            batch = batch.take(pa.array(first))
-            kinds, n = kinds[first], batch.column("n").to_numpy().astype(np.int64)
+            kinds, n = batch.column("kind").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
             marks, sizes = _marks(batch)
-            row = np.repeat(np.arange(len(first)), sizes)
-            words_of = parities(row, marks, len(first))
+            row = np.repeat(np.arange(len(kinds)), sizes)
+            words_of = parities(row, marks, len(kinds))
             order = np.lexsort((marks, counts.value[_cell(marks)], row))
             marks, row = marks[order], row[order]
             rank = np.arange(len(marks)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -179,17 +188,16 @@ def near_duplicate_classes(records: DataFrame, similarity: float = 0.7, *, id_co
     need = F.ceil(F.lit(similarity) * F.greatest("na", "nb") - F.lit(1e-9))
     apart = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in parity), F.lit(0))
     close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= need) & (F.col("na") + F.col("nb") - apart >= 2 * need)
-    # a class may come once for each batch that holds a copy, so a tally may be too high, never too low
-    tallied = one.join(two, "mark").filter(close).groupBy("a", "b").agg(F.count(F.lit(1)).alias("tally"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    tallied = split_join(one, two, "mark", left_by="a", right_by="b", rows=hot_rows, counted=postings.select("mark")).filter(close).groupBy("a", "b").agg(F.count(F.lit(1)).alias("tally"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     least = F.least(F.lit(MATCHES), need)
     candidates = park(tallied.filter(F.col("tally") >= least).select("a", "b"), "near-duplicate-candidates")
 
     names = candidates.select(F.explode(F.array("a", "b")).alias("kind")).distinct()
     if names.count() <= BROADCAST_NAMES:
         names = F.broadcast(names)
-    known = described.select("kind", "n", "marks").join(names, "kind", "left_semi").groupBy("kind").agg(F.first(F.struct("n", "marks")).alias("r"))
-    left = known.select(F.col("kind").alias("a"), F.col("r.n").alias("na"), F.col("r.marks").alias("marks_a"))
-    right = known.select(F.col("kind").alias("b"), F.col("r.n").alias("nb"), F.col("r.marks").alias("marks_b"))
+    known = described.join(names, "kind", "left_semi")
+    left = known.select(F.col("kind").alias("a"), F.col("n").alias("na"), F.col("marks").alias("marks_a"))
+    right = known.select(F.col("kind").alias("b"), F.col("n").alias("nb"), F.col("marks").alias("marks_b"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +215,7 @@ def near_duplicate_classes(records: DataFrame, similarity: float = 0.7, *, id_co
 
     joined = candidates.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "marks_a", "marks_b")
     pairs = park(joined.mapInArrow(verify, "a long, b long, similarity double"), "near-duplicate-pairs")
-    return pairs, described.select("key", "kind", "n").distinct()
+    return pairs, members
 
 
 def near_duplicate_groups(records: DataFrame, similarity: float = 0.7, *, id_col: str = "id", title_col: str = "title", body_col: str = "summary") -> DataFrame:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from newsloom.plans.runtime import park, table
+from newsloom.plans.skew import HOT_ROWS, split_join
 
 #: Characters of a reference block.
 BLOCK = 25
@@ -215,7 +216,7 @@ def _named(documents: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     return documents.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).filter(F.col("key").isNotNull() & (F.char_length("text") >= min_chars)).withColumn("name", F.xxhash64("text"))
 
 
-def candidate_pairs(texts: DataFrame, min_chars: int) -> DataFrame:
+def candidate_pairs(texts: DataFrame, min_chars: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``a`` < ``b``: names of texts of which a window of one meets a reference place of the other."""
     run = _run_length(min_chars)
     # beside its anchor, a span has this many characters more on one side at least
@@ -231,7 +232,7 @@ def candidate_pairs(texts: DataFrame, min_chars: int) -> DataFrame:
     met = probes.withColumn("lo", F.min("name").over(same)).withColumn("hi", F.max("name").over(same)).filter("lo < hi")
     met = park(met.groupBy("anchor", "name", "before", "after").agg(F.max("block").alias("block")), "span-anchors")
     index = met.filter("block").select("anchor", F.col("name").alias("n1"), F.col("before").alias("b1"), F.col("after").alias("a1"))
-    hits = index.join(met, "anchor").filter("n1 <> name and (b1 = before or a1 = after)")
+    hits = split_join(index, met, "anchor", left_by="n1", right_by="name", rows=hot_rows).filter("n1 <> name and (b1 = before or a1 = after)")
     return park(hits.select(F.least("n1", "name").alias("a"), F.greatest("n1", "name").alias("b")).distinct(), "span-candidates")
 
 
