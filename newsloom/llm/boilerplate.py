@@ -273,11 +273,11 @@ def main_text(pages: DataFrame, *, url_col: str = "url", title_col: str = "title
 
     Null urls and null or empty contents give no lines, pages without a report
     give none either; rows of one url that differ are pages each, equal ones
-    count once; an empty table gives an empty result; further columns are
+    give their lines once (in the counts each is a page); an empty table gives an empty result; further columns are
     ignored.
     """
     spark = pages.sparkSession
-    rows = pages.select(F.col(url_col).alias("url"), F.col(title_col).alias("title"), F.col(content_col).alias("content")).filter("url is not null and content <> ''").distinct()
+    rows = pages.select(F.col(url_col).alias("url"), F.col(title_col).alias("title"), F.col(content_col).alias("content")).filter("url is not null and content <> ''")
     found, repeated = furniture_parts(rows)
     words = rows.select("title").mapInArrow(_title_words, "word string").groupBy("word").count()
     # at most 1 / WORD_SHARE times the words of a headline
@@ -301,7 +301,8 @@ def main_text(pages: DataFrame, *, url_col: str = "url", title_col: str = "title
                     texts.append(lines[i])
             yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=["url", "line_no", "line"])
 
-    return rows.join(marks, "url", "left").select("url", "title", "content", "parts").mapInArrow(extract, "url string, line_no int, line string")
+    # one shuffle serves both: rows that lie together by url are told apart and joined where they are
+    return rows.repartition("url").distinct().join(marks, "url", "left").select("url", "title", "content", "parts").mapInArrow(extract, "url string, line_no int, line string")
 
 
 def _title_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
