@@ -13,7 +13,7 @@ from pyspark.sql import functions as F, types as T
 KEEP = set("a abbr article aside b blockquote br caption cite code dd div dl dt em figcaption figure footer h1 h2 h3 h4 h5 h6 header hr i img li main ol p pre q s section small span strong sub sup table tbody td tfoot th thead time tr u ul".split())
 ATTRIBUTES = {"a": {"href", "title"}, "img": {"src", "alt", "title", "width", "height"}, "td": {"colspan", "rowspan"}, "th": {"colspan", "rowspan"}, "time": {"datetime"}}
 DROP = set("script style noscript iframe object embed form input button textarea select svg math template head title".split())
-BLOCKS = set("p div li blockquote h1 h2 h3 h4 h5 h6 pre td th dd dt figcaption".split())
+BLOCKS = set("p h1 h2 h3 li blockquote".split())
 VOID = set("br hr img input meta link embed source wbr area base col".split())
 NO_TEXT = set("script style code pre".split())
 

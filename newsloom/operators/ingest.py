@@ -49,10 +49,16 @@ shared_sql(
 )
 
 
-@query("classify_cap", f"SELECT id, batch_no FROM (SELECT id, batch_no, fetched_at FROM feed_items ORDER BY fetched_at DESC NULLS LAST, id LIMIT {CLASSIFY_CAP}) c")
+@query("classify_cap", f"SELECT id, row_number() OVER (ORDER BY published_at DESC NULLS LAST, id) <= {CLASSIFY_CAP} AS chosen FROM (SELECT DISTINCT id, published_at FROM articles) a")
 def classify_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last fetched items, as the SQL states it; ``classify_queue`` has the cap of a run over new items."""
-    return items(spark, sf_dir, "id", "batch_no", "fetched_at").orderBy(F.col("fetched_at").desc_nulls_last(), "id").limit(CLASSIFY_CAP).select("id", "batch_no")
+    """Which of the articles, taken as new items with known instants, a run classifies: the newest by publication, undated last; the rest is deferred.
+
+    ``classify_queue`` does the same for delivered items, whose instants have to be read first.
+    """
+    rows = articles(spark, sf_dir, "id", "published_at")
+    # at most CLASSIFY_CAP rows
+    chosen = rows.orderBy(F.col("published_at").desc_nulls_last(), "id").limit(CLASSIFY_CAP).select("id", F.lit(True).alias("c"))
+    return rows.join(F.broadcast(chosen), "id", "left").select("id", F.coalesce("c", F.lit(False)).alias("chosen"))
 
 
 MAX_FUTURE_MS, MAX_AGE_MS = 600_000, 365 * 86_400_000

@@ -10,7 +10,9 @@ from newsloom.plans.runtime import table
 
 LEAST_TEXT, MOST_CONTENT, MOST_SEGMENT = 200, 400_000, 8000
 # Private and reserved IPv4 networks as (first address, prefix length).
-PRIVATE_NETWORKS = (("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.168.0.0", 16), ("198.18.0.0", 15), ("224.0.0.0", 3))
+PRIVATE_NETWORKS = (("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15))
+# Blocked IPv6 addresses and prefixes, internal host endings.
+BLOCKED_IPV6, BLOCKED_IPV6_PREFIXES, INTERNAL_ENDINGS = ("::1", "::"), ("fe80", "fc", "fd"), (".local", ".internal")
 
 
 def pages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -104,13 +106,13 @@ def ipv4_number(ip: F.Column) -> F.Column:
 
 
 def is_private_ipv4(ip: F.Column) -> F.Column:
-    """Whether an address lies in a private or reserved network; true for what is no address."""
+    """Whether an address lies in a private or reserved network; false for what is no address."""
     number = ipv4_number(ip)
     inside = F.lit(False)
     for first, bits in PRIVATE_NETWORKS:
         start = sum(int(o) * 256 ** (3 - i) for i, o in enumerate(first.split(".")))
         inside = inside | ((number >= start) & (number < start + 2 ** (32 - bits)))
-    return F.coalesce(inside, F.lit(True))
+    return F.coalesce(inside, F.lit(False))
 
 
 def url_allowed(url: F.Column) -> F.Column:
@@ -121,6 +123,41 @@ def url_allowed(url: F.Column) -> F.Column:
     return F.coalesce(scheme.isin("http", "https") & ~blocked, F.lit(False))
 
 
+def is_blocked_ipv6(ip: F.Column) -> F.Column:
+    """Whether an IPv6 address is loopback, unspecified, link-local or private."""
+    low = F.lower(ip)
+    inside = low.isin(*BLOCKED_IPV6)
+    for prefix in BLOCKED_IPV6_PREFIXES:
+        inside = inside | low.startswith(prefix)
+    return F.coalesce(inside, F.lit(False))
+
+
+def page_allowed(url: F.Column) -> F.Column:
+    """Whether the reader may fetch a page: http(s), no internal host, and of literal addresses the public ones.
+
+    A name is allowed here; what it resolves to is tested by ``is_private_ipv4``
+    and ``is_blocked_ipv6``, for every redirect again.
+    """
+    parts = r"^([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)"
+    host = F.lower(F.regexp_extract(url, parts, 2))
+    bare = F.regexp_replace(host, r"[\[\]]", "")
+    internal = (host == "") | (host == "localhost")
+    for ending in INTERNAL_ENDINGS:
+        internal = internal | host.endswith(ending)
+    literal = F.when(host.startswith("["), ~is_blocked_ipv6(bare)).when(host.rlike(r"^\d+(\.\d+){3}$"), ~is_private_ipv4(host)).otherwise(F.lit(True))
+    return F.coalesce(F.lower(F.regexp_extract(url, parts, 1)).isin("http", "https") & ~internal & literal, F.lit(False))
+
+
+_V6 = "concat(substr('0123456789abcdef', 1 + CAST(event_id // 4096 % 16 AS INT), 1), substr('0123456789abcdef', 1 + CAST(event_id // 256 % 16 AS INT), 1), substr('0123456789abcdef', 1 + CAST(event_id // 16 % 16 AS INT), 1), '0::1')"
+
+
+@query("ipv6_guard", f"SELECT event_id, starts_with(ip, 'fe80') OR starts_with(ip, 'fc') OR starts_with(ip, 'fd') AS blocked FROM (SELECT event_id, {_V6} AS ip FROM events) e")
+def ipv6_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IPv6 addresses of all leading digits against the blocked prefixes, as hosts of urls."""
+    url = F.expr(f"concat('https://[', {_V6.replace('//', 'div')}, ']/')")
+    return table(spark, sf_dir, "events").select("event_id", (~page_allowed(url)).alias("blocked"))
+
+
 _NUM = "(event_id * 429497 + 12345) % 4294967296"
 _RANGES = " OR ".join(f"n BETWEEN {(s := sum(int(o) * 256 ** (3 - i) for i, o in enumerate(a.split('.'))))} AND {s + 2 ** (32 - b) - 1}" for a, b in PRIVATE_NETWORKS)
 

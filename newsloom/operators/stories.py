@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from newsloom.operators.feed import articles, boot, feed_order
 from newsloom.plans.catalog import query, shared_sql
+from newsloom.plans.runtime import table
 
 
 def story() -> F.Column:
@@ -16,6 +17,19 @@ def story() -> F.Column:
 _A = "SELECT DISTINCT id, title, published_at, fetched_at, source_name, source_region, source_lang, body_hash, coalesce(story_id, id) AS story FROM articles"
 
 
+# Hours and rows of the trending scan, ages in ms of top stories, of what counts as new, and of a breaking story's first report.
+TRENDING_HOURS, TRENDING_ROWS, TOP_MS, NEW_MS, BREAKING_MS = 4, 500, 3_600_000, 1_800_000, 5_400_000
+
+#: The moment that the registered queries take as now: the last fetch of an article within an hour of its publication (some are fetched days late).
+_NOW = "SELECT max(MS(fetched_at)) AS t FROM articles WHERE MS(fetched_at) - MS(published_at) BETWEEN 0 AND 3600000"
+
+
+def now_ms(spark: SparkSession, sf_dir: str) -> int | None:
+    """The registered queries' now; one value."""
+    late = F.unix_millis("fetched_at") - F.unix_millis("published_at")
+    return table(spark, sf_dir, "articles").filter(late.between(0, 3_600_000)).agg(F.unix_millis(F.max("fetched_at"))).first()[0]
+
+
 def _age_rank() -> list:
     """Order in which a copy counts as later: publication, undated last, then the feed's own order."""
     return [F.col("published_at").isNull(), F.unix_micros("published_at"), -F.unix_micros("fetched_at"), F.col("id")]
@@ -79,12 +93,21 @@ def story_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("id", "story", (F.unix_millis("published_at") - F.col("first_ms")).alias("offset_ms"), F.coalesce(F.col("id") == F.col("first_id"), F.lit(False)).alias("is_first"), F.col("is_copy").alias("is_wire"), "first_ms", "last_ms", "sources", "regions")
 
 
+_RECENT = f"SELECT a.* FROM ({_A}) a CROSS JOIN ({_NOW}) n WHERE MS(a.published_at) >= n.t - {TRENDING_HOURS * 3_600_000} ORDER BY a.published_at DESC, a.fetched_at DESC NULLS LAST, a.id LIMIT {TRENDING_ROWS}"
 _CANDIDATES = f"""SELECT story, CAST(count(DISTINCT CASE WHEN NOT is_copy THEN source_name END) AS BIGINT) AS independent, CAST(count(DISTINCT source_region) AS BIGINT) AS regions, CAST(count(DISTINCT source_lang) AS BIGINT) AS langs, MS(max(published_at)) AS rep_ms
-    FROM ({_COPIES}) c GROUP BY story ORDER BY independent DESC, rep_ms DESC NULLS LAST, story LIMIT 20"""
+    FROM (SELECT *, coalesce(body_hash <> '' AND row_number() OVER (PARTITION BY story, body_hash ORDER BY published_at ASC NULLS LAST, fetched_at DESC, id) > 1, false) AS is_copy FROM ({_RECENT}) a) c
+    GROUP BY story ORDER BY independent DESC, rep_ms DESC NULLS LAST, story LIMIT 20"""
+
+
+def recent(rows: DataFrame, now: int | None, *, hours: int = TRENDING_HOURS, most: int = TRENDING_ROWS) -> DataFrame:
+    """The newest articles of the last hours, in feed order; undated ones are left out."""
+    since = F.lit(now).cast("bigint") - hours * 3_600_000
+    return rows.filter(F.unix_millis("published_at") >= since).orderBy(*feed_order()).limit(most)
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = wire_copies(articles(spark, sf_dir, "id", "published_at", "fetched_at", "source_name", "source_region", "source_lang", "body_hash", "story_id")).withColumn("story", story())
+    rows = articles(spark, sf_dir, "id", "published_at", "fetched_at", "source_name", "source_region", "source_lang", "body_hash", "story_id")
+    c = wire_copies(recent(rows, now_ms(spark, sf_dir))).withColumn("story", story())
     g = c.groupBy("story").agg(
         F.countDistinct(F.when(~F.col("is_copy"), F.col("source_name"))).alias("independent"), F.countDistinct("source_region").alias("regions"),
         F.countDistinct("source_lang").alias("langs"), F.unix_millis(F.max("published_at")).alias("rep_ms"),
@@ -110,7 +133,7 @@ def trending(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "trending_log_row",
     f"""WITH k AS ({_CANDIDATES}), r AS (SELECT *, row_number() OVER (ORDER BY independent DESC, rep_ms DESC NULLS LAST, story) - 1 AS n FROM k)
-        SELECT string_agg(concat(CAST(n AS VARCHAR), ':', story, ':', CAST(independent AS VARCHAR)), '|' ORDER BY n) AS picks, CAST(count(*) AS BIGINT) AS n_picks FROM r WHERE n < 3""",
+        SELECT coalesce(string_agg(concat(CAST(n AS VARCHAR), ':', story, ':', CAST(independent AS VARCHAR)), '|' ORDER BY n), '') AS picks, CAST(count(*) AS BIGINT) AS n_picks FROM r WHERE n < 3 AND (SELECT count(*) FROM k) >= 3""",
 )
 def trending_log_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log row with the picks in order."""
@@ -122,7 +145,7 @@ def trending_log_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     "trending_resolve",
     f"""WITH k AS ({_CANDIDATES}), r AS (SELECT story, row_number() OVER (ORDER BY independent DESC, rep_ms DESC NULLS LAST, story) - 1 AS rank FROM k),
           m AS (SELECT DISTINCT coalesce(story_id, id) AS story, id FROM articles)
-        SELECT CAST(r.rank AS INTEGER) AS rank, r.story, CAST(count(m.id) AS BIGINT) AS members FROM r JOIN m ON r.story = m.story WHERE r.rank < 3 GROUP BY r.rank, r.story""",
+        SELECT CAST(r.rank AS INTEGER) AS rank, r.story, CAST(count(m.id) AS BIGINT) AS members FROM r JOIN m ON r.story = m.story WHERE r.rank < 3 AND (SELECT count(*) FROM k) >= 3 GROUP BY r.rank, r.story""",
 )
 def trending_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Picks joined to their stories' members."""
@@ -140,16 +163,28 @@ shared_sql(
 )
 shared_sql(
     "top_stories",
-    """WITH now AS (SELECT max(MS(fetched_at)) AS t FROM articles),
-            s AS (SELECT coalesce(story_id, id) AS story, max(MS(published_at)) AS rep_ms, count(DISTINCT source_name) AS sources FROM articles GROUP BY coalesce(story_id, id))
-       SELECT story, rep_ms, CAST(sources AS BIGINT) AS sources FROM s CROSS JOIN now WHERE t - rep_ms < 86400000 ORDER BY sources DESC, rep_ms DESC, story LIMIT 3""",
+    f"""WITH now AS ({_NOW}),
+             s AS (SELECT coalesce(story_id, id) AS story, max(MS(published_at)) AS rep_ms, count(DISTINCT source_name) AS sources FROM articles GROUP BY coalesce(story_id, id))
+        SELECT story, rep_ms, CAST(sources AS BIGINT) AS sources FROM s CROSS JOIN now WHERE t - rep_ms < {TOP_MS} ORDER BY sources DESC, rep_ms DESC, story LIMIT 3""",
 )
-shared_sql(
+
+
+@query(
     "breaking",
-    f"""WITH now AS (SELECT max(MS(fetched_at)) AS t FROM articles),
-             s AS (SELECT story, max(MS(published_at)) AS rep_ms, min(MS(published_at)) AS first_ms, count(DISTINCT source_name) AS sources FROM ({_A}) a GROUP BY story)
-        SELECT story, CASE WHEN t - rep_ms < 1800000 AND sources >= 3 AND t - coalesce(first_ms, t) < 5400000 THEN 'breaking' WHEN t - rep_ms < 1800000 THEN 'new' ELSE 'none' END AS state FROM s CROSS JOIN now""",
+    f"""WITH now AS ({_NOW}),
+             s AS (SELECT story, max(MS(published_at)) AS rep_ms, min(MS(published_at)) AS first_ms, count(DISTINCT CASE WHEN NOT is_copy THEN source_name END) AS sources FROM ({_COPIES}) a GROUP BY story)
+        SELECT story, CASE WHEN t - rep_ms < {NEW_MS} AND sources >= 3 AND t - coalesce(first_ms, t) < {BREAKING_MS} THEN 'breaking' WHEN t - rep_ms < {NEW_MS} THEN 'new' ELSE 'none' END AS state FROM s CROSS JOIN now""",
 )
+def breaking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a story breaks (its newest article is new, three sources report it themselves, its first report is not old), is new, or neither."""
+    c = wire_copies(articles(spark, sf_dir, "id", "published_at", "fetched_at", "source_name", "body_hash", "story_id")).withColumn("story", story())
+    s = c.groupBy("story").agg(F.unix_millis(F.max("published_at")).alias("rep_ms"), F.unix_millis(F.min("published_at")).alias("first_ms"), F.countDistinct(F.when(~F.col("is_copy"), F.col("source_name"))).alias("sources"))
+    now = F.lit(now_ms(spark, sf_dir)).cast("bigint")
+    fresh = now - F.col("rep_ms") < NEW_MS
+    state = F.when(fresh & (F.col("sources") >= 3) & (now - F.coalesce("first_ms", now) < BREAKING_MS), "breaking").when(fresh, "new").otherwise("none")
+    return s.select("story", state.alias("state"))
+
+
 shared_sql(
     "story_counters",
     """SELECT story_id, CAST(count(DISTINCT id) AS BIGINT) AS article_count, CAST(count(DISTINCT source_name) AS BIGINT) AS source_count, CAST(count(DISTINCT source_region) AS BIGINT) AS region_count,
@@ -175,18 +210,37 @@ def story_reps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("story_id").agg(first.alias("r")).select("story_id", "r.rep_id")
 
 
+#: A log of picks as the registered query makes it: of each hour's articles, the three stories with most sources.
+_LOG = """SELECT h, story, article, k - 1 AS rank FROM (SELECT h, story, article, row_number() OVER (PARTITION BY h ORDER BY sources DESC, story) AS k
+    FROM (SELECT MS(published_at) // 3600000 AS h, coalesce(story_id, id) AS story, min(id) AS article, count(DISTINCT source_name) AS sources FROM articles WHERE published_at IS NOT NULL GROUP BY 1, 2) s) r WHERE k <= 3"""
+
+
+def picks_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``logged_h``, ``picks``: one row a run, each with its picks in order."""
+    rows = articles(spark, sf_dir, "id", "published_at", "source_name", "story_id").filter("published_at is not null")
+    s = rows.groupBy(F.floor(F.unix_millis("published_at") / 3_600_000).alias("logged_h"), story().alias("story")).agg(F.min("id").alias("article"), F.countDistinct("source_name").alias("sources"))
+    # the least three of a run by an aggregate that keeps three, not by a sort of the run
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sources")).alias("d"), "story", "article"))), 1, 3)
+    in_parts = s.groupBy("logged_h", F.pmod(F.xxhash64("story"), F.lit(32)).alias("p")).agg(best.alias("b")).select("logged_h", F.explode("b").alias("b"))
+    return in_parts.groupBy("logged_h").agg(F.slice(F.array_sort(F.collect_list("b")), 1, 3).alias("picks"))
+
+
+def highlights_of(log: DataFrame, order_col: str = "logged_h", *, runs: int = 50, most: int = 20) -> DataFrame:
+    """``story``, ``id``: the picks of the newest runs, newest run first, each story once, at most ``most``."""
+    picked = log.orderBy(F.col(order_col).desc()).limit(runs).select(F.col(order_col).alias("at"), F.posexplode("picks").alias("rank", "p"))
+    first = picked.groupBy(F.col("p.story").alias("story")).agg(F.min(F.struct((-F.col("at")).alias("d"), "rank", F.col("p.article").alias("id"))).alias("f"))
+    return first.orderBy("f.d", "f.rank").limit(most).select("story", "f.id")
+
+
 @query(
     "highlights",
-    f"""WITH b AS (SELECT * FROM ({_A}) x ORDER BY published_at DESC NULLS LAST, fetched_at DESC NULLS LAST, id LIMIT 500),
-          o AS (SELECT *, row_number() OVER (ORDER BY published_at DESC NULLS LAST, fetched_at DESC NULLS LAST, id) AS pos FROM b),
-          f AS (SELECT story, id, pos, row_number() OVER (PARTITION BY story ORDER BY pos) AS k FROM o)
-        SELECT story, id FROM f WHERE k = 1 ORDER BY pos LIMIT 20""",
+    f"""WITH l AS ({_LOG}), n AS (SELECT * FROM l WHERE h IN (SELECT DISTINCT h FROM l ORDER BY h DESC LIMIT 50)),
+             f AS (SELECT story, article, h, rank, row_number() OVER (PARTITION BY story ORDER BY h DESC, rank) AS k FROM n)
+        SELECT story, article AS id FROM f WHERE k = 1 ORDER BY h DESC, rank LIMIT 20""",
 )
 def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest twenty stories of the serving window, each by its first article."""
-    order = Window.partitionBy(F.lit(1)).orderBy(*feed_order())
-    o = boot(spark, sf_dir).select("id", story().alias("story"), F.row_number().over(order).alias("pos"))
-    return o.groupBy("story").agg(F.min(F.struct("pos", "id")).alias("f")).orderBy("f.pos").limit(20).select("story", "f.id")
+    """The last picks, each story once."""
+    return highlights_of(picks_log(spark, sf_dir))
 
 
 shared_sql(

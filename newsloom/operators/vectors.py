@@ -16,7 +16,10 @@ from newsloom.plans.catalog import query, shared_sql
 from newsloom.plans.runtime import park, table
 
 MODEL = "newsvec-s768@r3"
-THRESHOLD, HOURS, MOST_AGE_HOURS = 0.83, 8, 72
+# Similarity that joins a story, hours to its last article and to its first, band around the threshold that people look at,
+# floors of the sweep in thousandths, floors by language, levels at which the shadow verdict is held against the classifier.
+THRESHOLD, HOURS, MOST_AGE_HOURS, BAND = 0.83, 8, 72, 0.03
+FLOORS, LANGUAGE_FLOORS, SHADOW_LEVELS = range(780, 861, 5), (0.79, 0.795, 0.80, 0.81), (0.84, 0.85, 0.86, 0.87, 0.88)
 _HOUR_MS = 3_600_000
 #: Rows of one time slot that one task compares.
 BLOCK = 8000
@@ -69,11 +72,25 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.join(y, (F.col("story_id") == F.col("s_b")) & (F.col("id") < F.col("id_b"))).select(F.col("id").alias("id_a"), "id_b", F.round(cosine("embedding", "v_b"), 6).alias("sim"))
 
 
-@query("nearest_rep", f"SELECT id, rep_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, rep_id) AS k FROM ({_PAIRS}) p) q WHERE k = 1")
+_NEAREST = f"""WITH e AS ({_E}), r AS (SELECT s.id AS story, s.rep_article_id AS rep_id, epoch_ms(s.created_at) AS created, epoch_ms(s.last_article_at) AS last, e.v AS rv FROM stories s JOIN e ON e.id = s.rep_article_id),
+    p AS (SELECT e.id, r.story, r.rep_id, r.created, round(list_cosine_similarity(e.v, r.rv), 6) AS sim FROM e JOIN r ON abs(r.last - e.t) <= {HOURS * _HOUR_MS} AND r.created > e.t - {MOST_AGE_HOURS * _HOUR_MS} AND r.rep_id <> e.id)
+    SELECT id, story, rep_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, created, story) AS k FROM p) q WHERE k = 1"""
+
+
+@query("nearest_rep", _NEAREST)
 def nearest_rep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most similar story representative within eight hours of each article."""
-    best = _pairs(spark, sf_dir).groupBy("id").agg(F.min(F.struct((-F.col("sim")).alias("d"), "rep_id")).alias("b"))
-    return best.select("id", "b.rep_id", (-F.col("b.d")).alias("sim"))
+    """Of the stored stories that an article may join, the one whose representative is most similar.
+
+    May join: the last article within eight hours of the article's own time,
+    the story created less than 72 hours before it, the representative another
+    article.  Ties go to the older story, then to the smaller id.
+    """
+    reps = table(spark, sf_dir, "stories").select(F.col("id").alias("story"), F.col("rep_article_id").alias("rep_id"), F.unix_millis("created_at").alias("created"), F.unix_millis("last_article_at").alias("last"))
+    reps = reps.join(embedded(spark, sf_dir).select(F.col("id").alias("rep_id"), F.col("embedding").alias("rv")), "rep_id")
+    near = in_band(_members(spark, sf_dir).select("id", "embedding", "t"), reps, HOURS, "t", "last")
+    near = near.filter((F.col("created") > F.col("t") - MOST_AGE_HOURS * _HOUR_MS) & (F.col("rep_id") != F.col("id")))
+    best = near.groupBy("id").agg(F.min(F.struct((-F.round(cosine("embedding", "rv"), 6)).alias("d"), "created", "story", "rep_id")).alias("b"))
+    return best.select("id", "b.story", "b.rep_id", (-F.col("b.d")).alias("sim"))
 
 
 @query("calib_pairs", f"SELECT id, rep_id, sim, coalesce(story_id = rep_story, false) AS same_story FROM ({_PAIRS}) p")
@@ -120,11 +137,11 @@ def calib_lang_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy(F.least("lang", "rep_lang").alias("lang_a"), F.greatest("lang", "rep_lang").alias("lang_b")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(same), 6).alias("same_share"), F.round(F.percentile("sim", 0.5), 6).alias("p50"))
 
 
-@query("calib_band", f"SELECT id, rep_id, sim FROM ({_PAIRS}) p WHERE abs(sim - {THRESHOLD}) <= 0.05 ORDER BY (lang IS DISTINCT FROM rep_lang) DESC, sim DESC, id, rep_id LIMIT 40")
+@query("calib_band", f"SELECT id, rep_id, sim FROM ({_PAIRS}) p WHERE abs(sim - {THRESHOLD}) <= {BAND} ORDER BY (lang IS DISTINCT FROM rep_lang) DESC, sim DESC, id, rep_id LIMIT 40")
 def calib_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forty pairs next to the threshold, across languages first: a list for people to look at."""
     cross_lang = (~F.col("lang").eqNullSafe(F.col("rep_lang"))).desc()
-    return _pairs(spark, sf_dir).filter(F.abs(F.col("sim") - F.lit(THRESHOLD)) <= 0.05).orderBy(cross_lang, F.col("sim").desc(), "id", "rep_id").limit(40).select("id", "rep_id", "sim")
+    return _pairs(spark, sf_dir).filter(F.abs(F.col("sim") - F.lit(THRESHOLD)) <= BAND).orderBy(cross_lang, F.col("sim").desc(), "id", "rep_id").limit(40).select("id", "rep_id", "sim")
 
 
 @query("calib_audit", f"SELECT id, rep_id, sim FROM ({_PAIRS}) p WHERE story_id = rep_story ORDER BY sim, id, rep_id LIMIT 30")
@@ -188,15 +205,15 @@ def _shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedded(spark, sf_dir, "source_lang").crossJoin(F.broadcast(c)).select("id", F.col("source_lang").alias("lang"), cosine("embedding", "cv").alias("sim"), (F.substring("id", 3, 20).cast("bigint") % 3 != 0).alias("accepted"))
 
 
-@query(
-    "shadow_stats",
-    f"SELECT accepted, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(sim, 0.1), 4) AS p10, round(quantile_cont(sim, 0.5), 4) AS p50, round(quantile_cont(sim, 0.9), 4) AS p90, round(avg(CASE WHEN (sim >= 0.1) = accepted THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 3) AS agreement FROM ({_SHADOW}) s GROUP BY accepted",
-)
+_AGREE = ", ".join(f"round(avg(CASE WHEN (sim >= {t}) = accepted THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 3) AS agreement_{round(100 * t)}" for t in SHADOW_LEVELS)
+
+
+@query("shadow_stats", f"SELECT accepted, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(sim, 0.1), 4) AS p10, round(quantile_cont(sim, 0.5), 4) AS p50, round(quantile_cont(sim, 0.9), 4) AS p90, {_AGREE} FROM ({_SHADOW}) s GROUP BY accepted")
 def shadow_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity to the centroid by verdict of the stub classifier, and agreement of a floor with it."""
+    """Similarity to the centroid by verdict of the stub classifier, and agreement of five levels with it."""
     p = lambda q: F.round(F.percentile("sim", q), 4)
-    agree = F.when((F.col("sim") >= 0.1) == F.col("accepted"), 1.0).otherwise(0.0)
-    return _shadow(spark, sf_dir).groupBy("accepted").agg(F.count(F.lit(1)).alias("n"), p(0.1).alias("p10"), p(0.5).alias("p50"), p(0.9).alias("p90"), F.round(F.avg(agree), 3).alias("agreement"))
+    agree = [F.round(F.avg(F.when((F.col("sim") >= t) == F.col("accepted"), 1.0).otherwise(0.0)), 3).alias(f"agreement_{round(100 * t)}") for t in SHADOW_LEVELS]
+    return _shadow(spark, sf_dir).groupBy("accepted").agg(F.count(F.lit(1)).alias("n"), p(0.1).alias("p10"), p(0.5).alias("p50"), p(0.9).alias("p90"), *agree)
 
 
 @query("pct_linear", f"SELECT accepted, round(quantile_cont(sim, 0.25), 6) AS p25, round(quantile_cont(sim, 0.75), 6) AS p75 FROM ({_SHADOW}) s GROUP BY accepted")
@@ -248,23 +265,33 @@ def calib_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "calib_floor_sweep",
-    f"""WITH s AS ({_SHADOW}), t AS (SELECT unnest(range(0, 101, 5)) / 1000.0::DOUBLE AS t) SELECT t.t AS floor, CAST(sum(CASE WHEN accepted AND sim < t.t THEN 1 ELSE 0 END) AS BIGINT) AS lost, CAST(sum(CASE WHEN NOT accepted AND sim < t.t THEN 1 ELSE 0 END) AS BIGINT) AS saved FROM s, t GROUP BY t.t""",
+    f"""WITH s AS ({_SHADOW}), t AS (SELECT unnest({[f / 1000 for f in FLOORS]})::DOUBLE AS t),
+             c AS (SELECT t.t AS floor, CAST(sum(CASE WHEN accepted AND sim < t.t THEN 1 ELSE 0 END) AS BIGINT) AS lost, CAST(sum(CASE WHEN NOT accepted AND sim < t.t THEN 1 ELSE 0 END) AS BIGINT) AS saved, sum(CASE WHEN accepted THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN accepted THEN 0 ELSE 1 END) AS neg FROM s, t GROUP BY t.t)
+        SELECT floor, lost, saved, round(100.0::DOUBLE * lost / nullif(pos, 0), 4) AS lost_pct, round(100.0::DOUBLE * saved / nullif(neg, 0), 4) AS saved_pct, coalesce(100.0::DOUBLE * lost / nullif(pos, 0) > 0.5, false) AS flagged FROM c""",
 )
 def calib_floor_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted and rejected below each of a series of floors."""
-    t = _shadow(spark, sf_dir).withColumn("floor", F.explode(F.sequence(F.lit(0), F.lit(100), F.lit(5)))).withColumn("floor", F.col("floor") / 1000.0)
-    below = F.col("sim") < F.col("floor")
-    return t.groupBy("floor").agg(F.sum(F.when(F.col("accepted") & below, 1).otherwise(0)).alias("lost"), F.sum(F.when(~F.col("accepted") & below, 1).otherwise(0)).alias("saved"))
+    """Accepted and rejected below each of a series of floors, with shares; floors that lose more than 0.5 % are flagged.
 
+    Rows are counted by the floors they pass, so the sweep multiplies eighteen counts and not the rows.
+    """
+    floors = F.array(*(F.lit(f / 1000) for f in FLOORS))
+    steps = _shadow(spark, sf_dir).groupBy(F.size(F.filter(floors, lambda f: F.col("sim") >= f)).alias("passed")).agg(F.count_if("accepted").alias("pos"), F.count_if(~F.col("accepted")).alias("neg"))
+    below = steps.select("passed", "pos", "neg", F.posexplode(floors).alias("i", "floor")).groupBy("floor").agg(
+        F.sum(F.when(F.col("passed") <= F.col("i"), F.col("pos")).otherwise(0)).alias("lost"), F.sum(F.when(F.col("passed") <= F.col("i"), F.col("neg")).otherwise(0)).alias("saved"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
+    )
+    lost, saved = (100.0 * F.col(a) / F.nullif(F.col(b), F.lit(0)) for a, b in (("lost", "pos"), ("saved", "neg")))
+    return below.select("floor", "lost", "saved", F.round(lost, 4).alias("lost_pct"), F.round(saved, 4).alias("saved_pct"), F.coalesce(lost > 0.5, F.lit(False)).alias("flagged"))
 
-@query(
-    "calib_lang_floors",
-    f"SELECT lang, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(sim, 0.5), 6) AS p50, round(avg(CASE WHEN sim < 0.05 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS false_reject FROM ({_SHADOW}) s WHERE accepted GROUP BY lang HAVING count(*) >= 20",
-)
+
+_LANGUAGE_REJECTS = ", ".join(f"round(avg(CASE WHEN sim < {f} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS below_{round(1000 * f)}" for f in LANGUAGE_FLOORS)
+
+
+@query("calib_lang_floors", f"SELECT lang, accepted, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(sim, 0.01), 6) AS p1, round(quantile_cont(sim, 0.05), 6) AS p5, round(quantile_cont(sim, 0.1), 6) AS p10, round(quantile_cont(sim, 0.5), 6) AS p50, {_LANGUAGE_REJECTS} FROM ({_SHADOW}) s GROUP BY lang, accepted HAVING count(*) >= 20")
 def calib_lang_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """False rejects of a floor by language, for languages with twenty accepted and more."""
-    g = _shadow(spark, sf_dir).filter("accepted").groupBy("lang")
-    return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("sim", 0.5), 6).alias("p50"), F.round(F.avg(F.when(F.col("sim") < 0.05, 1.0).otherwise(0.0)), 6).alias("false_reject")).filter("n >= 20")
+    """What lies below four floors by language and verdict, where there are twenty and more."""
+    p = lambda q, name: F.round(F.percentile("sim", q), 6).alias(name)
+    below = [F.round(F.avg(F.when(F.col("sim") < f, 1.0).otherwise(0.0)), 6).alias(f"below_{round(1000 * f)}") for f in LANGUAGE_FLOORS]
+    return _shadow(spark, sf_dir).groupBy("lang", "accepted").agg(F.count(F.lit(1)).alias("n"), p(0.01, "p1"), p(0.05, "p5"), p(0.1, "p10"), p(0.5, "p50"), *below).filter("n >= 20")
 
 
 shared_sql("missing_embeddings", "SELECT DISTINCT a.id FROM articles a WHERE NOT EXISTS (SELECT 1 FROM article_embeddings e WHERE e.article_id = a.id AND e.embedding IS NOT NULL)")

@@ -80,7 +80,7 @@ def test_sanitise(html, want):
 
 
 def test_text_and_segments():
-    assert text_of("<div><p>One</p><p>two</p></div><p>Three <b>four</b></p>") == "Onetwo\n\nThree four"
+    assert text_of("<div><p>One</p><p>two</p></div><p>Three <b>four</b></p>") == "One\n\ntwo\n\nThree four"
     assert text_of("loose text that is long<p>x</p>") == "loose text that is longx" and text_of(None) is None
     assert segments_of("<p> a </p><code>no</code><p>b<script>no</script></p>") == [" a ", "b"] and segments_of(None) == []
     assert len(segments_of("<p>x</p>" * 150)) == 100

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators.ingest import numbered, valid_verdict
-from newsloom.operators.reader import ipv4_number, is_private_ipv4, url_allowed
+from newsloom.operators.reader import ipv4_number, is_private_ipv4, page_allowed, url_allowed
 from newsloom.plans.runtime import fresh_path, one_machine
 from newsloom.streaming import articles
 from newsloom.streaming.articles import Upserts, article_stream, deduplicated, drain, stream_assign, stream_rate_windows
@@ -130,7 +130,7 @@ def test_verdicts(spark):
 
 
 def test_addresses(spark):
-    cases = [("10.0.0.1", True), ("9.255.255.255", False), ("172.15.255.255", False), ("172.16.0.0", True), ("172.31.255.255", True), ("172.32.0.0", False), ("192.168.1.1", True), ("8.8.8.8", False), ("100.64.0.1", True), ("300.1.1.1", True), ("x", True), (None, True)]
+    cases = [("10.0.0.1", True), ("9.255.255.255", False), ("172.15.255.255", False), ("172.16.0.0", True), ("172.31.255.255", True), ("172.32.0.0", False), ("192.168.1.1", True), ("8.8.8.8", False), ("100.64.0.1", True), ("192.0.0.9", True), ("192.0.1.0", False), ("224.0.0.1", False), ("198.19.0.1", True), ("300.1.1.1", False), ("x", False), (None, False)]
     frame = spark.createDataFrame(cases, "ip string, want boolean")
     assert [r.p for r in frame.select(is_private_ipv4(F.col("ip")).alias("p")).collect()] == [w for _, w in cases]
     assert frame.select(ipv4_number(F.col("ip")).alias("n")).first().n == 167772161
@@ -138,5 +138,10 @@ def test_addresses(spark):
     assert [r.ok for r in spark.createDataFrame(urls, "u string, w boolean").select(url_allowed(F.col("u")).alias("ok")).collect()] == [w for _, w in urls]
 
 
+def test_pages_that_may_be_read(spark):
+    urls = [("https://a.example/x", True), ("ftp://a.example", False), ("http://localhost/", False), ("http://10.0.0.1/", False), ("http://8.8.8.8/", True), ("https://a.internal/", False), ("https://printer.local", False), ("http://[::1]/", False), ("http://[fe80::2]/", False), ("http://[FD00::1]/", False), ("http://[2001:db8::1]:8080/", True), ("http://192.0.0.1/", False), ("http://169.254.169.254/", False), ("x", False), (None, False)]
+    assert [r.ok for r in spark.createDataFrame(urls, "u string, w boolean").select(page_allowed(F.col("u")).alias("ok")).collect()] == [w for _, w in urls]
+
+
 def test_paths_are_new(spark):
     assert fresh_path(spark, "x") != fresh_path(spark, "x")
