@@ -50,6 +50,8 @@ MATCHES = 2
 PARITY_WORDS = 3
 #: Cells of the count table: 4 bytes each, broadcast.
 CELLS = 1 << 20
+#: Positional bytes of all records for each task that pairs postings.
+MARKS_PER_TASK = 500_000
 _CHUNK = 1 << 12
 #: Names of classes that may be broadcast (8 bytes each); beyond it the records are shuffled.
 BROADCAST_NAMES = 500_000
@@ -163,7 +165,10 @@ def near_duplicate_classes(records: DataFrame, similarity: float = 0.7, *, id_co
     # one row for each sequence of words, before anything is indexed
     described = park(described.filter("n > 0").groupBy("kind").agg(F.first(F.struct("n", "marks")).alias("r")).select("kind", "r.n", "r.marks"), "word-classes")
     drop_path(spark, path)
-    counts = spark.sparkContext.broadcast(mark_counts(described))
+    table_of = mark_counts(described)
+    counts = spark.sparkContext.broadcast(table_of)
+    # as many tasks as there are positional bytes, so that a task's share does not grow with the collection
+    tasks = int(table_of.sum(dtype=np.int64)) // MARKS_PER_TASK + 1
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +187,7 @@ def near_duplicate_classes(records: DataFrame, similarity: float = 0.7, *, id_co
 
     parity = [f"p{i}" for i in range(PARITY_WORDS)]
     names_of = ["mark", "kind", "n", *parity]
-    postings = described.select("kind", "n", "marks").mapInArrow(index, "mark int, kind long, n int, " + ", ".join(f"{c} long" for c in parity))
+    postings = described.select("kind", "n", "marks").mapInArrow(index, "mark int, kind long, n int, " + ", ".join(f"{c} long" for c in parity)).repartition(tasks, "mark")
     one = postings.select("mark", F.col("kind").alias("a"), F.col("n").alias("na"), *(F.col(c).alias(f"a{c}") for c in parity))
     two = postings.select("mark", F.col("kind").alias("b"), F.col("n").alias("nb"), *(F.col(c).alias(f"b{c}") for c in parity))
     need = F.ceil(F.lit(similarity) * F.greatest("na", "nb") - F.lit(1e-9))
