@@ -11,14 +11,15 @@ agree, which is multiprobing from both sides.  Each meeting place is scored
 exactly on the unfiltered vectors, and the best of all places are merged.
 
 Scale.  The number of axes grows with the rows of a model up to the full width,
-and a bucket with more than ``block`` rows is divided by a second rotation, so
-buckets stay small and a vector travels, losslessly packed, once for each probe
-however large the collection is.  Equal vectors are one class and travel once
-per input batch.  Where one bucket is still larger, its rows are divided among
-tasks as queries, and the members are streamed by class through each of those
-tasks in Arrow batches, so no task holds more than one block.  Only the fitted
-filters (under one MB a model) are broadcast, and only sizes of buckets reach
-the driver.
+and a vector travels, losslessly packed, once for each probe.  Equal vectors are
+one class and travel once per input batch.  The rows of a bucket of more than
+``block`` rows are divided among tasks as queries, and those of the other tasks
+are streamed by class through each of them in Arrow batches, so no task holds
+more than one block; every pair of a bucket is scored whatever its size and
+``block`` are.  A row of a bucket of n blocks so travels n times.  Only where a
+caller asks for it (``divide``) are such buckets divided by a second rotation
+instead, which scores fewer pairs and misses more.  Only the fitted filters
+(under one MB a model) are broadcast, and only sizes of buckets reach the driver.
 """
 
 from __future__ import annotations
@@ -241,7 +242,10 @@ def _best(q64: np.ndarray, q32: np.ndarray, unit: np.ndarray, m32: np.ndarray, l
     """
     s = q32 @ m32.T
     width = min(keep, s.shape[1])
-    last = np.maximum(np.partition(s, s.shape[1] - width, axis=1)[:, s.shape[1] - width], least)
+    last = least
+    if (least < -2).any():
+        # a row has places free
+        last = np.maximum(np.partition(s, s.shape[1] - width, axis=1)[:, s.shape[1] - width], least)
     margin = 2 * (unit.shape[1] + 8) * 2.0**-24
     row, member = np.nonzero(s >= (last - margin).astype(np.float32)[:, None])
     if len(row) > DENSE * width * len(s):
@@ -257,6 +261,7 @@ def _best(q64: np.ndarray, q32: np.ndarray, unit: np.ndarray, m32: np.ndarray, l
 def _score(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Stream (space, bucket, part)-sorted rows, queries before members and members by class, and give each class its best candidates.
 
+    Queries are each other's candidates; members are those of other parts.
     A candidate is a class with its k + 1 smallest ids.  Equal similarity is
     decided for the class with the smallest id, so k + 1 classes hold the
     k + 1 first ids however many tie.
@@ -266,13 +271,14 @@ def _score(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
     pending: list[tuple] = []
 
     def open_group(group: tuple) -> None:
-        state.update(group=group, q=[], qids={}, alone=True, ready=None)
+        state.update(group=group, q=[], qids={}, ready=None)
 
     def prepare() -> None:
         kinds = list(state["qids"])
         unit = _unit(np.vstack([state["q"][i] for i in range(len(kinds))]))
         state["ready"] = (kinds, unit, unit.astype(np.float32), np.full((len(kinds), keep), -9.0), np.full((len(kinds), keep), -1, np.int64))
         state["lists"], state["q"] = [], []
+        absorb(unit, list(state["qids"].values()))
 
     def absorb(unit: np.ndarray, lists: list) -> None:
         kinds, q64, q32, sims, refs = state["ready"]
@@ -307,8 +313,6 @@ def _score(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         if state["ready"] is None:
             prepare()
         kinds, unit, _, sims, refs = state["ready"]
-        if state["alone"]:
-            absorb(unit, list(state["qids"].values()))
         out_kind, out_sim, out_id = [], [], []
         for i, kind in enumerate(kinds):
             found: dict[str, float] = {}
@@ -338,7 +342,6 @@ def _score(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
                 yield from close_group()
                 open_group(group)
             if member:
-                state["alone"] = False
                 if pending and pending[-1][0] == kind:
                     pending[-1] = (kind, sorted(set(pending[-1][1]) | set(keys))[: k + 1], pending[-1][2])
                 else:
@@ -353,7 +356,7 @@ def _score(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
     yield from close_group()
 
 
-def nearest(vectors: DataFrame, k: int = 5, *, id_col: str = "article_id", vector_col: str = "embedding", model_col: str = "model", rows_per_axis: int = ROWS_PER_AXIS, tables: tuple[int, ...] = TABLES, block: int = BLOCK, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, *, id_col: str = "article_id", vector_col: str = "embedding", model_col: str = "model", rows_per_axis: int = ROWS_PER_AXIS, tables: tuple[int, ...] = TABLES, block: int = BLOCK, sample_rows: int = SAMPLE_ROWS, divide: bool = False) -> DataFrame:
     """``id``, ``model``, ``rank``, ``neighbour``, ``similarity``: the k most similar vectors of each vector of the same model and width.
 
     Cosine similarity, rounded to nine digits; ties go to the smaller id.  Null,
@@ -361,6 +364,8 @@ def nearest(vectors: DataFrame, k: int = 5, *, id_col: str = "article_id", vecto
     repeated rows of an id count once, an empty table gives an empty result,
     further columns are ignored.  A miss is a pair that shares none of its
     nearest axes; the README has the recall measured against brute force.
+    ``block`` is the size of a task and changes no result, except with
+    ``divide``, where larger buckets are divided by nearest axes again.
     """
     spark = vectors.sparkSession
     rows = _usable(vectors, id_col, vector_col, model_col)
@@ -380,7 +385,7 @@ def nearest(vectors: DataFrame, k: int = 5, *, id_col: str = "article_id", vecto
 
     members = park(describe({}), "vector-classes")
     sizes = counted(members)
-    levels = {(space, code >> _INNER_BITS): inner_level(n, block) for (space, code), n in sizes.items() if n > block and space in spaces.value}
+    levels = {(space, code >> _INNER_BITS): inner_level(n, block) for (space, code), n in sizes.items() if divide and n > block and space in spaces.value}
     if levels:
         sizes = counted(describe(levels))
     parts = {key: -(-n // block) for key, n in sizes.items()}
@@ -401,7 +406,7 @@ def nearest(vectors: DataFrame, k: int = 5, *, id_col: str = "article_id", vecto
                     for code in codes[i].tolist():
                         n = parts.get((space, code), 1)
                         own = int.from_bytes(kind[:4], "big") % n
-                        places = [(own, False)] + ([(p, True) for p in range(n)] if n > 1 else [])
+                        places = [(p, p != own) for p in range(n)]
                         for part, member in places:
                             for c, v in zip(out, (space, code, part, member, kind, short, data)):
                                 out[c].append(v)
@@ -418,7 +423,7 @@ def nearest(vectors: DataFrame, k: int = 5, *, id_col: str = "article_id", vecto
                 )
 
     # a task takes several small buckets, one after the other, a quarter of a block on average
-    tasks = max(1, -(-4 * sum(sizes.values()) // block), max(parts.values(), default=1))
+    tasks = max(1, -(-4 * sum(n * parts[key] for key, n in sizes.items()) // block), max(parts.values(), default=1))
     placed = rows.mapInArrow(place, "space string, bucket int, part int, member boolean, kind binary, keys array<string>, data binary")
     lined = placed.repartition(tasks, "space", "bucket", "part").sortWithinPartitions("space", "bucket", "part", "member", "kind")
     scored = lined.mapInArrow(lambda it: _score(it, k), "space string, kind binary, sim double, key string")

@@ -70,6 +70,14 @@ def test_recall_and_split_buckets(spark):
         assert set(got) == set(want)
 
 
+def test_results_do_not_depend_on_the_size_of_a_task(spark):
+    rows = rows_of(2500, 32, "m", 8, topics=5)
+    whole = found(spark, rows)
+    assert found(spark, rows, block=150) == whole
+    # only where it is asked for
+    assert found(spark, rows, block=150, divide=True) != whole
+
+
 def test_a_bucket_is_divided_into_as_many_parts_as_it_needs():
     assert [inner_level(n, 100) for n in (100, 101, 201, 900, 10**9)] == [-1, 0, 1, 3, 5]
 
